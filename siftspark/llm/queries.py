@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftspark.llm import copies, fusion
+from siftspark.llm import copies, fusion, leaks, mixing
 from siftspark.session import table
 
 
@@ -26,6 +26,26 @@ def p6_records(spark: SparkSession, d: str) -> DataFrame:
     return copies.records(table(spark, d, "bookmarks"))
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.leaked(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id")
+
+
+def p8_coverage(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.leaked(table(spark, d, "documents"), table(spark, d, "eval_items"), coverage=0.5)
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.short_sources(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
+def p9_mix(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.shares(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p3_found, p3_ranking, p6_found, p6_records)
+    f.__name__: f for f in (p3_found, p3_ranking, p6_found, p6_records, p8_found, p8_coverage, p9_found, p9_mix, p9_shares)
 }
