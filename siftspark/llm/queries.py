@@ -6,10 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftspark.llm import copies, fusion, leaks, mixing
+from siftspark.llm import copies, fusion, leaks, mixing, neighbours
 from siftspark.session import table
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return neighbours.similar_pairs(table(spark, d, "vectors")).select("vec_table", "id_a", "id_b")
+
+
+def p2_top10(spark: SparkSession, d: str) -> DataFrame:
+    return neighbours.top_k(table(spark, d, "vectors"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return fusion.first_hits(table(spark, d, "search_hits"))
 
@@ -47,5 +55,7 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p3_found, p3_ranking, p6_found, p6_records, p8_found, p8_coverage, p9_found, p9_mix, p9_shares)
+    f.__name__: f for f in (p2_found, p2_top10, p3_found, p3_ranking, p6_found, p6_records, p8_found, p8_coverage, p9_found, p9_mix, p9_shares)
 }
+
+ORACLE: dict[str, str] = {}
