@@ -29,3 +29,12 @@ def label_code(label: str | None) -> str | None:
         return None
     first = re.split(r"[\s_\-(,;/.]", label.strip().lower(), maxsplit=1)[0]
     return _CODES.get(first)
+
+
+def label_expr(column: str):
+    """label_code as a column expression."""
+    from pyspark.sql import functions as F
+
+    first = F.element_at(F.split(F.lower(F.trim(F.col(column).cast("string"))), r"[\s_\-(,;/.]"), 1)
+    table = F.create_map(*[F.lit(x) for pair in sorted(_CODES.items()) for x in pair])
+    return F.when(F.col(column).isNotNull(), F.try_element_at(table, first))

@@ -6,10 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftspark.llm import copies, fusion, leaks, mixing, neighbours
+from siftspark.llm import copies, edits, fusion, languages, leaks, mixing, neighbours
 from siftspark.session import table
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return edits.pairs(edits.texts(table(spark, d, "items")), words=3, similarity=0.6).select("id_a", "id_b")
+
+
+def p1_groups(spark: SparkSession, d: str) -> DataFrame:
+    return edits.groups(edits.texts(table(spark, d, "items")))
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return neighbours.similar_pairs(table(spark, d, "vectors")).select("vec_table", "id_a", "id_b")
 
@@ -54,8 +62,16 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.shares(table(spark, d, "documents"), table(spark, d, "mix_targets"))
 
 
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return languages.mislabelled(table(spark, d, "documents"))
+
+
+def p10_segments(spark: SparkSession, d: str) -> DataFrame:
+    return languages.segments(table(spark, d, "documents")).drop("letters", "lines")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p2_found, p2_top10, p3_found, p3_ranking, p6_found, p6_records, p8_found, p8_coverage, p9_found, p9_mix, p9_shares)
+    f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_top10, p3_found, p3_ranking, p6_found, p6_records, p8_found, p8_coverage, p9_found, p9_mix, p9_shares, p10_found, p10_segments)
 }
 
 ORACLE: dict[str, str] = {}
