@@ -29,17 +29,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siftspark.llm.buckets import HOT, near_pairs, sized
 from siftspark.session import checkpoint
 
 DIM = 64
-GROUPS = 25
+GROUPS = 32
 LEAST_BITS = 12
 CELL = 8192
 COUNTED = 128
 SEED = 911
-HOT = 65_536
-SALTS = 32
-SMALL = 1_000_000  # rows up to which a side is broadcast
 QUERY_BLOCK = 16_384
 KNN_BITS = 256
 WIDEN = 16
@@ -84,7 +82,7 @@ def _base(vectors: DataFrame) -> tuple[DataFrame, list[str]]:
 
 
 def _cells(base: DataFrame, dim: int, bits: int, groups: int, seed: int) -> DataFrame:
-    """key, vid, s1, s2: one row per vector and group."""
+    """key, node (vid), s1, s2: one row per vector and group."""
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grouped, counted = directions(dim, groups * bits, seed), directions(dim, COUNTED, seed + 1)
@@ -97,21 +95,10 @@ def _cells(base: DataFrame, dim: int, bits: int, groups: int, seed: int) -> Data
             key |= ((vid >> 48) << 48)[:, None]
             sig = pack(x @ counted > 0).reshape(len(x), 2)
             keys = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * groups), pa.array(key.ravel()))
-            yield pa.RecordBatch.from_arrays([pa.array(vid), pa.array(sig[:, 0].copy()), pa.array(sig[:, 1].copy()), keys], ["vid", "s1", "s2", "keys"])
+            yield pa.RecordBatch.from_arrays([pa.array(vid), pa.array(sig[:, 0].copy()), pa.array(sig[:, 1].copy()), keys], ["node", "s1", "s2", "keys"])
 
-    out = base.select("vid", "embedding").mapInArrow(cells, "vid long, s1 long, s2 long, keys array<long>")
-    return out.select(F.explode("keys").alias("key"), "vid", "s1", "s2")
-
-
-def _sized(df: DataFrame) -> DataFrame:
-    """Broadcast a checkpointed side only if its counted size is small; else let it be shuffled."""
-    return F.broadcast(df) if df.count() <= SMALL else df
-
-
-def _near(a: DataFrame, b: DataFrame, on: list[str], most: int) -> DataFrame:
-    b = b.select(*on, F.col("vid").alias("vid_b"), F.col("s1").alias("t1"), F.col("s2").alias("t2"))
-    far = F.bit_count(F.col("s1").bitwiseXOR(F.col("t1"))) + F.bit_count(F.col("s2").bitwiseXOR(F.col("t2")))
-    return a.join(b, on).where((F.col("vid") < F.col("vid_b")) & (far <= most)).select("vid", "vid_b")
+    out = base.select("vid", "embedding").mapInArrow(cells, "node long, s1 long, s2 long, keys array<long>")
+    return out.select(F.explode("keys").alias("key"), "node", "s1", "s2")
 
 
 def similar_pairs(vectors: DataFrame, least: float = 0.90, dim: int = DIM, groups: int = GROUPS, hot: int = HOT, seed: int = SEED) -> DataFrame:
@@ -121,8 +108,8 @@ def similar_pairs(vectors: DataFrame, least: float = 0.90, dim: int = DIM, group
     h = base.select("vid", F.shiftright("vid", 48).alias("tb"), F.xxhash64("embedding").alias("h1"), F.xxhash64(F.lit(1), "embedding").alias("h2"))
     group = h.groupBy("tb", "h1", "h2").agg(F.min("vid").alias("rep"), F.count("*").alias("n"))
     group = checkpoint(group.where("n > 1").drop("n"))
-    members = checkpoint(h.join(_sized(group), ["tb", "h1", "h2"]).where("vid <> rep").select("vid", "rep"))
-    sized_members = _sized(members)
+    members = checkpoint(h.join(sized(group), ["tb", "h1", "h2"]).where("vid <> rep").select("vid", "rep"))
+    sized_members = sized(members)
     reps = base.join(sized_members.select("vid"), "vid", "left_anti")
 
     largest = max([r[1] for r in h.groupBy("tb").count().collect()] or [1])  # one row per table
@@ -131,16 +118,7 @@ def similar_pairs(vectors: DataFrame, least: float = 0.90, dim: int = DIM, group
     p = 1 - math.acos(least) / math.pi
     most = COUNTED - math.floor(COUNTED * p - 4 * math.sqrt(COUNTED * p * (1 - p)))
     rows = _cells(reps, dim, bits, groups, seed)
-    crowded = checkpoint(rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("key"))
-    if crowded.count() == 0:
-        near = _near(rows, rows, ["key"], most)
-    else:
-        big = _sized(crowded)
-        calm, loud = rows.join(big, "key", "left_anti"), rows.join(big, "key")
-        left = loud.withColumn("salt", F.pmod(F.xxhash64("vid"), F.lit(SALTS)).cast("int"))
-        right = loud.withColumn("salt", F.explode(F.array([F.lit(i) for i in range(SALTS)])))
-        near = _near(calm, calm, ["key"], most).unionByName(_near(left, right, ["key", "salt"], most))
-    near = checkpoint(near.distinct())
+    near = near_pairs(rows, most, hot).select(F.col("a").alias("vid"), F.col("b").alias("vid_b"))
 
     vec = base.select("vid", "id", "embedding")
     ends = near.join(vec, "vid").select(F.col("vid").alias("vid_a"), F.col("id").alias("a"), F.col("embedding").alias("va"), F.col("vid_b").alias("vid"))
@@ -164,7 +142,7 @@ def similar_pairs(vectors: DataFrame, least: float = 0.90, dim: int = DIM, group
     pairs = pairs.unionByName(more)
     more = pairs.join(alias, pairs.vid_b == alias.rep).select("vid_a", "a", "vid_b", F.col("other").alias("b"), "cosine")
     pairs = pairs.unionByName(more)
-    heads = base.select("vid", "id").join(_sized(checkpoint(members.select(F.col("rep").alias("vid")).distinct())), "vid").select(F.col("vid").alias("rep"), F.col("id").alias("other"))
+    heads = base.select("vid", "id").join(sized(checkpoint(members.select(F.col("rep").alias("vid")).distinct())), "vid").select(F.col("vid").alias("rep"), F.col("id").alias("other"))
     heads = heads.join(_usable_reps(base, members, dim), "rep", "left_semi")
     same = alias.join(heads.select("rep"), "rep", "left_semi").unionByName(heads).distinct()
     twin = same.alias("x").join(same.alias("y"), "rep").where("x.other < y.other").select(F.col("rep").alias("vid_a"), F.col("x.other").alias("a"), F.col("rep").alias("vid_b"), F.col("y.other").alias("b"), F.lit(1.0).alias("cosine"))
@@ -182,7 +160,7 @@ def _usable_reps(base: DataFrame, members: DataFrame, dim: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows))], ["rep"])
 
     heads = checkpoint(members.select(F.col("rep").alias("vid")).distinct())
-    return base.select("vid", "embedding").join(_sized(heads), "vid", "left_semi").mapInArrow(ok, "rep long")
+    return base.select("vid", "embedding").join(sized(heads), "vid", "left_semi").mapInArrow(ok, "rep long")
 
 
 class Queries:
