@@ -27,8 +27,11 @@ LANGUAGES = ("en", "de", "fr", "es", "nl", "pt")
 SAMPLE = 400  # labelled documents a language at most
 DICTIONARY = 100_000  # bytes a language at most
 ROUNDS = 3
-MARGIN = 0.08  # of the smaller size
-LEAST_BYTES = 2
+CHARS = 4000  # of a sampled text
+MARGIN = 0.08  # of the second best size, for lines of LONG characters or more
+SHORT_MARGIN = 0.15
+TEXT_MARGIN = 0.02  # for a whole text without a clear line
+LONG = 60
 LEVEL = 3
 _DROP = re.compile(r"[^\w\s'’]+|\d+|_+")
 _SPACE = re.compile(r"\s+")
@@ -49,7 +52,7 @@ class Classifier:
         base = zstandard.ZstdCompressor(compression_params=p) if self.made else None
         self.empty = len(base.compress(b"")) if base else 0
 
-    def line(self, line: str) -> tuple[str | None, float]:
+    def line(self, line: str, least: float | None = None) -> tuple[str | None, float]:
         """(language or None, confidence); the confidence is the margin to the second best."""
         text = plain(line)
         if not text:
@@ -62,7 +65,7 @@ class Classifier:
             return sizes[0][1], 1.0
         (best, name), (second, _) = sizes[:2]
         margin = (second - best) / max(second, 1)
-        if second - best < LEAST_BYTES or margin < MARGIN:
+        if margin <= 0 or margin < (least or (MARGIN if len(text) >= LONG else SHORT_MARGIN)):
             return None, margin
         return name, margin
 
@@ -126,7 +129,7 @@ def sample(docs: DataFrame, languages=LANGUAGES, size: int = SAMPLE) -> list[tup
     rows = rows.where(F.col("label").isin(*languages))
     w = Window.partitionBy("label").orderBy("h")
     top = rows.withColumn("n", F.row_number().over(w)).where(F.col("n") <= size)
-    return sorted((r.label, r.text) for r in top.select("label", F.substring("text", 1, 4000).alias("text")).collect())
+    return sorted((r.label, r.text) for r in top.select("label", F.substring("text", 1, CHARS).alias("text")).collect())
 
 
 def judge(text: str | None, model: Classifier) -> list[tuple[int, int, str, float, int, int]]:
@@ -147,7 +150,7 @@ def judge(text: str | None, model: Classifier) -> list[tuple[int, int, str, floa
         seg[4] += len(line)
         seg[5] += 1
     if not out:  # no single line is clear; the whole text may be
-        lang, margin = model.line(text)
+        lang, margin = model.line(text, TEXT_MARGIN)
         if lang is not None:
             return [(0, text.count("\n"), lang, round(margin, 6), len(text), 0)]
     return [(a, b, lang, round(c / n, 6), n, k) for a, b, lang, c, n, k in out]
