@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftspark.llm import copies, edits, fusion, languages, leaks, mixing, neighbours
+from siftspark.llm import copies, edits, fusion, languages, leaks, mixing, neighbours, residue
 from siftspark.session import table
 
 
@@ -34,6 +34,18 @@ def p3_ranking(spark: SparkSession, d: str) -> DataFrame:
     return fusion.ranking(table(spark, d, "search_hits"))
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return residue.furniture(table(spark, d, "items"))
+
+
+def p4_main_text(spark: SparkSession, d: str) -> DataFrame:
+    return residue.main_text(table(spark, d, "items"))
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return residue.residues(table(spark, d, "items"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return copies.copies(table(spark, d, "bookmarks"))
 
@@ -71,7 +83,7 @@ def p10_segments(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_top10, p3_found, p3_ranking, p6_found, p6_records, p8_found, p8_coverage, p9_found, p9_mix, p9_shares, p10_found, p10_segments)
+    f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_top10, p3_found, p3_ranking, p4_found, p4_main_text, p5_found, p6_found, p6_records, p8_found, p8_coverage, p9_found, p9_mix, p9_shares, p10_found, p10_segments)
 }
 
 ORACLE: dict[str, str] = {}
