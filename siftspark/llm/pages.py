@@ -39,6 +39,8 @@ _BULLET = re.compile(r"^(?:[›•‣▸*–-]|\d{1,3}\.)\s+")
 _CAPS2 = re.compile(r"[A-Z][a-z]+ [A-Z][a-z]+")
 _WORD1 = re.compile(r"[A-Z][^\W\d_]+")
 _END = re.compile(r"[.!?…][\"'”’)]*$")
+TITLE = 3  # spaces of a title, as against a short heading
+PARAGRAPH = 15  # spaces of a line that shows a page has content
 DOUBT = -3.0  # odds down to which a short line of a message page is part of the message
 LONG = 12  # words from which an unfinished line is a paragraph that was cut
 
