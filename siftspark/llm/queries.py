@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftspark.llm import copies, edits, fusion, languages, leaks, mixing, neighbours, residue
+from siftspark.llm import copies, edits, fusion, languages, leaks, mixing, neighbours, residue, scans
 from siftspark.session import table
 
 
@@ -54,6 +54,14 @@ def p6_records(spark: SparkSession, d: str) -> DataFrame:
     return copies.records(table(spark, d, "bookmarks"))
 
 
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return scans.faults(table(spark, d, "items"), table(spark, d, "ocr_text"))
+
+
+def p7_repaired(spark: SparkSession, d: str) -> DataFrame:
+    return scans.repaired(table(spark, d, "items"), table(spark, d, "ocr_text"))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return leaks.leaked(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id")
 
@@ -83,7 +91,7 @@ def p10_segments(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_top10, p3_found, p3_ranking, p4_found, p4_main_text, p5_found, p6_found, p6_records, p8_found, p8_coverage, p9_found, p9_mix, p9_shares, p10_found, p10_segments)
+    f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_top10, p3_found, p3_ranking, p4_found, p4_main_text, p5_found, p6_found, p6_records, p7_found, p7_repaired, p8_found, p8_coverage, p9_found, p9_mix, p9_shares, p10_found, p10_segments)
 }
 
 ORACLE: dict[str, str] = {}
