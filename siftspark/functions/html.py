@@ -7,6 +7,7 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from siftspark.functions.urls import refusal_reason
 
@@ -57,7 +58,7 @@ def parse(html: str) -> tuple[str | None, str]:
     return " ".join("".join(r.title).split()) or None, " ".join(r.text)
 
 
-@F.pandas_udf("title string, text string")
+@F.pandas_udf(StructType([StructField("title", StringType()), StructField("text", StringType())]))
 def extract(html: pd.Series) -> pd.DataFrame:
     """Null gives no title and an empty text."""
     return pd.DataFrame([parse(h) if isinstance(h, str) else (None, "") for h in html], columns=["title", "text"])

@@ -22,10 +22,12 @@ FIELDS = ("ocr", "caption")
 def _count(tokens: Column, phrase: list[str]) -> Column:
     if len(phrase) == 1:
         return F.size(F.filter(tokens, lambda t: t == phrase[0]))
-    n = len(phrase)
-    starts = F.when(F.size(tokens) >= n, F.sequence(F.lit(1), F.size(tokens) - n + 1)).otherwise(F.array().cast("array<int>"))
-    want = F.array(*[F.lit(w) for w in phrase])
-    return F.size(F.filter(starts, lambda i: F.slice(tokens, i, n) == want))
+    joined = F.concat(F.lit(" "), F.array_join(tokens, " "), F.lit(" "))
+    every = F.lit(True)
+    for w in phrase:
+        every = every & F.array_contains(tokens, w)
+    # looked ahead for, so that overlapping phrases all count
+    return F.when(every, F.regexp_count(joined, F.lit(f"(?= {' '.join(phrase)} )"))).otherwise(0)
 
 
 def _counted(docs: DataFrame, query: str) -> tuple[DataFrame, int]:

@@ -29,7 +29,7 @@ def nearest(vectors: DataFrame, space: str, model: str, query: list[float], k: i
     """id, rowid, score; score is minus the distance, or the cosine."""
     q = F.lit([float(x) for x in query])
     e = F.col("embedding")
-    score = -V.l2(e, q) if metric == "l2" else V.cosine(e, q)
+    score = F.lit(0.0) - V.l2(e, q) if metric == "l2" else V.cosine(e, q)
     rows = partition(vectors, space, model).where(V.usable(e, len(query))).select("id", "rowid", score.alias("score"))
     return rows if k is None else rows.orderBy(F.desc("score"), "id", "rowid").limit(k)
 
