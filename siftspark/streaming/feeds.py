@@ -36,16 +36,17 @@ def follow(store: Store, landing: str, checkpoint: str):
     return feed.writeStream.foreachBatch(lambda b, _: apply_changes(store, b)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def windowed(events: DataFrame, window: str = "1 hour", late: str = "2 hours") -> DataFrame:
-    """window_start, event_type, n, total of (ts, event_type, value), batch or stream."""
-    rows = events.withWatermark("ts", late) if events.isStreaming else events
+def windowed(events: DataFrame, window: str = "1 hour", late: str | None = "2 hours") -> DataFrame:
+    """window_start, event_type, n, total of (ts, event_type, value), batch or stream;
+    late=None for a stream that has its watermark."""
+    rows = events.withWatermark("ts", late) if events.isStreaming and late else events
     out = rows.groupBy(F.window("ts", window).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
     return out.select(F.col("w.start").alias("window_start"), "event_type", "n", "total")
 
 
-def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "2 hours") -> DataFrame:
+def sessions(events: DataFrame, gap: str = "30 minutes", late: str | None = "2 hours") -> DataFrame:
     """Activity sessions of each user."""
-    rows = events.withWatermark("ts", late) if events.isStreaming else events
+    rows = events.withWatermark("ts", late) if events.isStreaming and late else events
     out = rows.groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(F.count("*").alias("n"))
     return out.select("user_id", F.col("w.start").alias("started"), F.col("w.end").alias("ended"), "n")
 
