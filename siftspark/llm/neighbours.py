@@ -171,7 +171,7 @@ class Queries:
         self.vid = np.array([r.vid for r in rows], np.int64)
         self.id = pd.util.hash_array(np.array([r.id for r in rows], object)) if rows else np.empty(0, np.uint64)
         self.x = x / np.sqrt((x.astype(np.float64) ** 2).sum(1))[:, None].astype(np.float32)
-        self.sig = pack(self.x @ directions(dim, KNN_BITS, seed) > 0).view(np.uint64).reshape(len(rows), -1)
+        self.sig = pack(self.x @ directions(dim, KNN_BITS, seed) > 0).view(np.uint64).reshape(len(rows), KNN_BITS // 64)
 
 
 def _best(q: np.ndarray, vid: np.ndarray, oid: np.ndarray, cos: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
@@ -206,7 +206,7 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 50, dim: int = DIM, bloc
                     continue
                 vid = b.column(0).to_numpy()[rows]
                 oid = pd.util.hash_array(np.array(b.column(1).take(pa.array(rows)).to_pylist(), object))
-                sig = pack(x @ dirs > 0).view(np.uint64).reshape(len(x), -1)
+                sig = pack(x @ dirs > 0).view(np.uint64).reshape(len(x), KNN_BITS // 64)
                 parts = [best]
                 for tb in np.unique(vid >> 48):
                     here, mine = np.flatnonzero(vid >> 48 == tb), np.flatnonzero(q_table == tb)

@@ -32,7 +32,7 @@ from siftspark.session import checkpoint
 
 TRAIN = 4_000  # unknown words the editor is trained on, at most
 KNOWN_SHARE = 2e-5  # of the records that are no scans, for a known word
-COMMON_SHARE = 0.02  # of the scans: tokens that often are what they are
+COMMON_SHARE = 0.02  # of the scans: short tokens that often are what they are, such as units
 WRAPPED = 0.25  # share of lines that go on in lower case
 NARROWEST, WIDEST = 35, 120  # characters of the longest line
 SHARED_EDITS = 3  # words that must show a difference before it is an operation
@@ -347,7 +347,7 @@ def learn(items: DataFrame, ocr: DataFrame, size: int = TRAIN) -> Reader:
     total = {r.scan: r.n for r in counts.where("word = ''").collect()}
     clean = counts.where(~F.col("scan") & (F.col("n") >= max(2, KNOWN_SHARE * total.get(False, 0))) & F.col("word").rlike(r"^\p{L}[\p{L}'’-]*$"))
     known = {r.word: r.n for r in clean.select("word", "n").collect()}  # bounded by the share
-    often = counts.where(F.col("scan") & (F.col("word") != "") & (F.col("n") >= max(5, COMMON_SHARE * total.get(True, 0))))
+    often = counts.where(F.col("scan") & (F.col("word") != "") & (F.col("n") >= max(5, COMMON_SHARE * total.get(True, 0))) & (F.length(F.regexp_replace("word", r"[^\p{L}]", "")) < 3))
     common = frozenset(r.word.lower() for r in often.select("word").collect())  # bounded by the share
     seen = counts.where("scan").select("word", "n", F.lower("word").alias("low"))
     unknown = seen.join(clean.select(F.col("word").alias("low")), "low", "left_anti").where(F.col("word").rlike(r"\p{L}") & (F.length("word") >= 4))
@@ -357,22 +357,27 @@ def learn(items: DataFrame, ocr: DataFrame, size: int = TRAIN) -> Reader:
 
 def _edge_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        tables, ids, keys = [], [], []
+        out: list[tuple] = []
         for table, i, text in zip(*(b.column(k).to_pylist() for k in range(3))):
             if wrapped(text):
-                lines = text.split("\n")
-                mine = {key(k) for j in edges(lines) if len(k := header_key(lines[j].strip())) >= 4}
-                tables += [table] * len(mine)
-                ids += [i] * len(mine)
-                keys += mine
-        yield pa.RecordBatch.from_arrays([pa.array(tables, pa.string()), pa.array(ids, pa.string()), pa.array(keys, pa.int64())], ["rec_table", "rec_id", "key"])
+                lines = [s for x in text.split("\n") if (s := x.strip())]
+                for j in edges(lines):
+                    if len(k := header_key(lines[j])) >= 4:
+                        beside = lines[j + 1] if j + 1 < len(lines) else lines[j - 1]
+                        out.append((table, i, key(k), key(beside)))
+        cols = list(zip(*out)) if out else [[]] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.int64(), pa.int64()))], ["rec_table", "rec_id", "key", "beside"])
 
 
 def shared_headers(rows: DataFrame) -> DataFrame:
-    """rec_table, rec_id, shared: edge lines of a record that head other records too."""
-    edge = checkpoint(rows.select("rec_table", "rec_id", "text").mapInArrow(_edge_keys, "rec_table string, rec_id string, key long").distinct())
-    many = edge.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    return edge.join(many, "key").groupBy("rec_table", "rec_id").agg(F.collect_list("key").alias("shared"))
+    """rec_table, rec_id, shared: edge lines of a record that head other records too, next to other lines.
+
+    The line beside tells headers from the first lines of copied pages.
+    """
+    edge = checkpoint(rows.select("rec_table", "rec_id", "text").mapInArrow(_edge_keys, "rec_table string, rec_id string, key long, beside long").distinct())
+    one = edge.select("rec_table", "rec_id", "key").distinct().groupBy("key").agg(F.count("*").alias("n"))
+    many = edge.groupBy("key", "beside").agg(F.count("*").alias("m")).groupBy("key").agg(F.count("*").alias("m")).join(one, "key").where("n > 1 and m > 1").select("key")
+    return edge.select("rec_table", "rec_id", "key").distinct().join(many, "key").groupBy("rec_table", "rec_id").agg(F.collect_list("key").alias("shared"))
 
 
 def readings(items: DataFrame, ocr: DataFrame) -> DataFrame:
