@@ -22,7 +22,8 @@ def brute_leaks(docs, items, run):
         w = words(p)
         for k in range(len(w) - run + 1):
             index.setdefault(tuple(w[k : k + run]), set()).add(i)
-    return {(d, i) for d, t in docs for k in range(len(words(t)) - run + 1) for i in index.get(tuple(words(t)[k : k + run]), ())}
+    split = [(d, words(t)) for d, t in docs]
+    return {(d, i) for d, w in split for k in range(len(w) - run + 1) for i in index.get(tuple(w[k : k + run]), ())}
 
 
 def test_leaks_against_brute_force(spark):
