@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,6 +27,20 @@ def get_spark(app: str = "siftspark", cores: str = "*", shuffle_partitions: int
     return b.getOrCreate()
 
 
+def ship(spark: SparkSession) -> SparkSession:
+    """Send this package to the Python workers, once a context, so that no worker depends on its own path."""
+    sc = spark.sparkContext
+    if not getattr(sc, "_siftspark_shipped", False):
+        root = Path(__file__).resolve().parent
+        target = os.path.join(tempfile.mkdtemp(prefix="siftspark-code-"), "siftspark.zip")
+        with zipfile.ZipFile(target, "w") as z:
+            for f in sorted(root.rglob("*.py")):
+                z.write(f, f"{root.name}/{f.relative_to(root)}")
+        sc.addPyFile(target)
+        sc._siftspark_shipped = True
+    return spark
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
