@@ -40,7 +40,8 @@ COUNTED = 128
 SEED = 911
 QUERY_BLOCK = 16_384
 KNN_BITS = 256
-WIDEN = 16
+WIDEN = 16  # candidates a query has at least, as a multiple of k
+DATA_BLOCK = 65_536
 
 
 def vec_table(space="space", model="model"):
@@ -174,17 +175,42 @@ class Queries:
         self.sig = pack(self.x @ directions(dim, KNN_BITS, seed) > 0).view(np.uint64).reshape(len(rows), KNN_BITS // 64)
 
 
-def _best(q: np.ndarray, vid: np.ndarray, oid: np.ndarray, cos: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
-    """The k best different ids of each query."""
-    order = np.lexsort((vid, -cos, oid, q))
-    q, vid, oid, cos = q[order], vid[order], oid[order], cos[order]
-    first = np.r_[True, (q[1:] != q[:-1]) | (oid[1:] != oid[:-1])] if len(q) else np.empty(0, bool)
-    q, vid, oid, cos = q[first], vid[first], oid[first], cos[first]
-    order = np.lexsort((vid, -cos, q))
-    q, vid, oid, cos = q[order], vid[order], oid[order], cos[order]
-    start = np.searchsorted(q, q, "left")
-    keep = np.arange(len(q)) - start < k
-    return q[keep], vid[keep], oid[keep], cos[keep]
+class Best:
+    """The k best different ids of every query so far."""
+
+    def __init__(self, queries: int, k: int):
+        self.k = k
+        self.cos = np.full((queries, k), -np.inf)
+        self.vid = np.full((queries, k), -1, np.int64)
+        self.oid = np.zeros((queries, k), np.uint64)
+
+    def add(self, q: int, cos: np.ndarray, vid: np.ndarray, oid: np.ndarray) -> None:
+        new = cos > self.cos[q, -1]
+        if not new.any():
+            return
+        cos, vid, oid = np.r_[self.cos[q], cos[new]], np.r_[self.vid[q], vid[new]], np.r_[self.oid[q], oid[new]]
+        order = np.lexsort((vid, -cos))
+        real = order[vid[order] >= 0]
+        first = np.sort(np.unique(oid[real], return_index=True)[1])  # the best of each id
+        top = real[first][: self.k]
+        n = len(top)
+        self.cos[q, :n], self.vid[q, :n], self.oid[q, :n] = cos[top], vid[top], oid[top]
+
+
+def _gathered(batches: Iterator[pa.RecordBatch], dim: int, rows: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(vid, hash of id, unit vectors) of usable rows, in blocks of about that many rows."""
+    parts, size = [], 0
+    for b in batches:
+        at, x = usable(b.column(2), dim)
+        if len(at):
+            oid = pd.util.hash_array(np.array(b.column(1).take(pa.array(at)).to_pylist(), object))
+            parts.append((b.column(0).to_numpy()[at], oid, x))
+            size += len(at)
+        if size >= rows:
+            yield tuple(np.concatenate(c) for c in zip(*parts))
+            parts, size = [], 0
+    if parts:
+        yield tuple(np.concatenate(c) for c in zip(*parts))
 
 
 def top_k(vectors: DataFrame, k: int = 10, every: int = 50, dim: int = DIM, block: int = QUERY_BLOCK, seed: int = SEED, pass_share: float = 0.01) -> DataFrame:
@@ -198,37 +224,26 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 50, dim: int = DIM, bloc
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             qs: Queries = shared.value
             dirs = directions(dim, KNN_BITS, seed)
-            best = tuple(np.empty(0, t) for t in (np.int64, np.int64, np.uint64, np.float64))
-            q_table = qs.vid >> 48
-            for b in batches:
-                rows, x = usable(b.column(2), dim)
-                if not len(rows):
-                    continue
-                vid = b.column(0).to_numpy()[rows]
-                oid = pd.util.hash_array(np.array(b.column(1).take(pa.array(rows)).to_pylist(), object))
+            best, q_table = Best(len(qs.vid), k), qs.vid >> 48
+            for vid, oid, x in _gathered(batches, dim, DATA_BLOCK):
                 sig = pack(x @ dirs > 0).view(np.uint64).reshape(len(x), KNN_BITS // 64)
-                parts = [best]
                 for tb in np.unique(vid >> 48):
-                    here, mine = np.flatnonzero(vid >> 48 == tb), np.flatnonzero(q_table == tb)
-                    sub, need = sig[here], min(len(here), WIDEN * k)
-                    for s in range(0, len(mine), 128):
-                        m = mine[s : s + 128]
-                        apart = np.zeros((len(m), len(here)), np.uint16)
-                        for w in range(sub.shape[1]):
-                            apart += np.bitwise_count(qs.sig[m, w][:, None] ^ sub[None, :, w])
-                        hit = apart <= KNN_BITS - low
-                        few = np.flatnonzero(hit.sum(1) < need)
-                        if len(few):  # the windows of these queries widen
-                            limit = np.partition(apart[few], need - 1, axis=1)[:, need - 1]
-                            hit[few] = apart[few] <= limit[:, None]
-                        qi, oi = np.nonzero(hit)
-                        qi, oi = m[qi], here[oi]
-                        other = qs.id[qi] != oid[oi]
-                        qi, oi = qi[other], oi[other]
-                        cos = np.einsum("ij,ij->i", qs.x[qi], x[oi]).astype(np.float64)
-                        parts.append((qi, vid[oi], oid[oi], cos))
-                best = _best(*(np.concatenate(c) for c in zip(*parts)), k)
-            yield pa.RecordBatch.from_arrays([pa.array(qs.vid[best[0]]), pa.array(best[1]), pa.array(best[2].view(np.int64)), pa.array(best[3])], ["q", "vid", "oid", "cosine"])
+                    here = np.flatnonzero(vid >> 48 == tb)
+                    words = [np.ascontiguousarray(sig[here, w]) for w in range(sig.shape[1])]
+                    need = min(len(here), WIDEN * k)
+                    for q in np.flatnonzero(q_table == tb):
+                        apart = np.bitwise_count(words[0] ^ qs.sig[q, 0])
+                        for w in range(1, len(words)):
+                            apart += np.bitwise_count(words[w] ^ qs.sig[q, w])
+                        hit = np.flatnonzero(apart <= KNN_BITS - low)
+                        if len(hit) < need:  # the window of this query widens
+                            hit = np.argpartition(apart, need - 1)[:need]
+                        hit = here[hit]
+                        hit = hit[oid[hit] != qs.id[q]]
+                        best.add(q, (x[hit] @ qs.x[q]).astype(np.float64), vid[hit], oid[hit])
+            q, at = np.nonzero(best.vid >= 0)
+            cols = (qs.vid[q], best.vid[q, at], best.oid[q, at].view(np.int64), best.cos[q, at])
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["q", "vid", "oid", "cosine"])
 
         return scan
 
