@@ -119,3 +119,30 @@ class Editor:
             full = sorted((x for x in nxt if x[3] == most), key=lambda x: -x[0])[:beam]
             states = few[: 4 * beam] + full
         return sorted(((s, t, at) for s, t, at, n in states if at), key=lambda x: (len(x[2]), -x[0]))
+
+
+class Joiner:
+    """An averaged perceptron that decides whether a line end lies inside a word."""
+
+    def __init__(self) -> None:
+        self.weights: dict[str, float] = {}
+
+    def score(self, active: list[str]) -> float:
+        return sum(self.weights.get(f, 0.0) for f in active)
+
+    def train(self, rows: list[tuple[list[str], bool]], rounds: int = 8, seed: int = 5) -> Joiner:
+        sums: dict[str, float] = {}
+        order, step, rng = list(range(len(rows))), 1, random.Random(seed)
+        for _ in range(rounds):
+            rng.shuffle(order)
+            for k in order:
+                active, yes = rows[k]
+                if (self.score(active) > 0) != yes:
+                    d = 1.0 if yes else -1.0
+                    for f in active:
+                        self.weights[f] = self.weights.get(f, 0.0) + d
+                        sums[f] = sums.get(f, 0.0) + d * step
+                step += 1
+        for f in self.weights:
+            self.weights[f] -= sums.get(f, 0.0) / step
+        return self

@@ -3,7 +3,7 @@
 A record is a scanned page text if its lines are wrapped: many go on in lower case. Furniture is removed by
 page position: page numbers, and lines at a page's edge that stand apart, repeat in the record, head other pages
 too, or are the record's title. Unknown words go to an averaged-perceptron character editor whose result must
-be a known word; line ends with a hyphen sign are joined by its decision over both halves.
+be a known word; line ends are joined by a second averaged perceptron over the sign and both pieces.
 
 Known words are those of texts that are no scans, by their share of all records (a bound on their number). The
 editor is trained on a bounded sample of unknown words of scans (TRAIN) and their nearest known words.
@@ -26,16 +26,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftspark.llm.pages import key
-from siftspark.llm.perceptron import Editor, align
+from siftspark.llm.perceptron import Editor, Joiner, align
 from siftspark.llm.residue import trusted
 from siftspark.session import checkpoint
 
 TRAIN = 4_000  # unknown words the editor is trained on, at most
+JOIN_TRAIN = 1_000  # texts the decision on line ends is trained on, at most
 KNOWN_SHARE = 2e-5  # of the records that are no scans, for a known word
 COMMON_SHARE = 0.02  # of the scans: short tokens that often are what they are, such as units
 WRAPPED = 0.25  # share of lines that go on in lower case
 NARROWEST, WIDEST = 35, 120  # characters of the longest line
 SHARED_EDITS = 3  # words that must show a difference before it is an operation
+OFTEN = 8  # or records, for a difference of fewer words
 EDGE = 2  # lines from a page's edge
 HYPHENS = "-‐‑¬\xad"
 _NUMBER = re.compile(r"^\W*(?:(?:page|p|pg|seite|s)\b\.?\s*)?[\dlIOoSB|]{1,4}(?:\s*(?:/|of|von)\s*[\dlIOoSB|]{1,4})?\W*$", re.IGNORECASE)
@@ -144,6 +146,7 @@ class Reader:
     known: frozenset[str]
     common: frozenset[str]
     editor: Editor
+    joiner: Joiner = field(default_factory=Joiner)
     cache: dict[str, tuple[str, list[int]] | None] = field(default_factory=dict)
 
     def fine(self, token: str) -> bool:
@@ -190,13 +193,49 @@ def split_tokens(line: str) -> list[tuple[int, str]]:
     return out
 
 
+def halves(line: str, nxt: str) -> tuple[str, str, str] | None:
+    """(hyphen sign or nothing, last piece, first piece of the next line); None where no word can go on."""
+    line = line.rstrip()
+    if len(line) < 2 or not nxt:
+        return None
+    sign = line[-1] if line[-1] in HYPHENS else ""
+    last = line[:-1] if sign else line
+    if not last[-1:].isalpha() or not (nxt[0].islower() or not nxt[0].isalnum() and nxt[0] not in _OUTER):
+        return None
+    return sign, last.split()[-1].lstrip(_OUTER).lower(), nxt.split()[0].strip(_OUTER).lower()
+
+
+def join_features(sign: str, left: str, right: str, known: frozenset[str]) -> list[str]:
+    whole, pair = left + right in known, f"{left}-{right}" in known
+    a, b = left in known, right in known
+    return ["bias", f"sign{bool(sign)}", f"whole{whole}", f"pair{pair}", f"left{a}", f"right{b}", f"sign{bool(sign)}pair{pair}whole{whole}", f"sign{bool(sign)}left{a}right{b}whole{whole}"]
+
+
 def joins(line: str, nxt: str, reader: Reader) -> bool:
     """Whether a line ends inside a word that goes on in the next line."""
-    line = line.rstrip()
-    if len(line) < 2 or line[-1] not in HYPHENS or not line[-2].isalpha() or not nxt or not (nxt[0].islower() or not nxt[0].isalnum()):
-        return False
-    left, right = line.split()[-1][:-1].lstrip(_OUTER).lower(), nxt.split()[0].strip(_OUTER).lower()
-    return not (f"{left}-{right}" in reader.known and left + right not in reader.known)
+    h = halves(line, nxt)
+    return h is not None and reader.joiner.score(join_features(*h, reader.known)) > 0
+
+
+def train_joiner(texts: list[str], known: frozenset[str]) -> Joiner:
+    """From line ends of scans: those with a sign were broken unless the pieces make a known hyphened word and no
+    known whole one; without a sign, two known words were not broken, and a whole word of other pieces was."""
+    rows: list[tuple[list[str], bool]] = []
+    for text in texts:
+        lines = [s for x in text.split("\n") if (s := x.strip())]
+        for line, nxt in zip(lines, lines[1:]):
+            h = halves(line, nxt)
+            if h is None:
+                continue
+            sign, left, right = h
+            both, whole, pair = left in known and right in known, left + right in known, f"{left}-{right}" in known
+            if sign:
+                rows.append((join_features(*h, known), whole or not pair))
+            elif both or whole:
+                rows.append((join_features(*h, known), not both))
+    pairs = [w.split("-") for w in known if w.count("-") == 1]
+    rows += [(join_features("-", a, b, known), False) for a, b in pairs if a and b and a + b not in known] * 3
+    return Joiner().train(rows)
 
 
 @dataclass
@@ -291,15 +330,18 @@ def _distance(a: str, b: str) -> int:
 def train(unknown: dict[str, int], known: dict[str, int]) -> Editor:
     """From unknown words of scans and known words, with their counts.
 
-    Only pairs with one local difference teach, and only differences that several words share; words with a
+    Only pairs with one local difference teach, and only differences that several words or many records share; words with a
     capital teach nothing, since a rare name is often near another name.
     """
     words = [w for w in unknown if 4 <= len(w) <= 30 and w == w.lower() and _LETTER.search(w) and not _DIGITISH.match(w)]
     pairs = [(s, t) for s, t in nearest(words, known) if 0 < len(_edit(s, t)[0]) <= 2 and 0 < len(_edit(s, t)[1]) <= 2]
     edits = Counter(_edit(s, t) for s, t in pairs)
-    firm = [(s, t) for s, t in pairs if edits[_edit(s, t)] >= SHARED_EDITS]
+    times: Counter = Counter()
+    for s, t in pairs:
+        times[_edit(s, t)] += unknown[s]
+    firm = [(s, t) for s, t in pairs if edits[_edit(s, t)] >= SHARED_EDITS or times[_edit(s, t)] >= OFTEN]
     keep = sorted(known, key=lambda w: (-known[w], w))[: max(200, len(firm))]
-    return Editor().train(firm + [(w, w) for w in keep], least=SHARED_EDITS)
+    return Editor().train(firm + [(w, w) for w in keep], least=1)
 
 
 def _edit(seen: str, true: str) -> tuple[str, str]:
@@ -352,7 +394,9 @@ def learn(items: DataFrame, ocr: DataFrame, size: int = TRAIN) -> Reader:
     seen = counts.where("scan").select("word", "n", F.lower("word").alias("low"))
     unknown = seen.join(clean.select(F.col("word").alias("low")), "low", "left_anti").where(F.col("word").rlike(r"\p{L}") & (F.length("word") >= 4))
     rows = unknown.orderBy(F.xxhash64("word")).limit(size).select("word", "n").collect()
-    return Reader(frozenset(known), common, train({r.word: r.n for r in rows if r.word.lower() not in common}, known))
+    lines = texts.where(~F.col("typed")).select("text").distinct().orderBy(F.xxhash64("text")).limit(JOIN_TRAIN).collect()
+    joiner = train_joiner([r.text for r in lines if wrapped(r.text)], frozenset(known))
+    return Reader(frozenset(known), common, train({r.word: r.n for r in rows if r.word.lower() not in common}, known), joiner)
 
 
 def _edge_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
