@@ -16,6 +16,7 @@ line has no other fault; a misread inside a broken word counts for the line that
 from __future__ import annotations
 
 import re
+import string
 import unicodedata
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -37,7 +38,6 @@ COMMON_SHARE = 0.02  # of the scans: short tokens that often are what they are,
 WRAPPED = 0.25  # share of lines that go on in lower case
 NARROWEST, WIDEST = 35, 120  # characters of the longest line
 SHARED_EDITS = 3  # words that must show a difference before it is an operation
-OFTEN = 8  # or records, for a difference of fewer words
 EDGE = 2  # lines from a page's edge
 HYPHENS = "-‐‑¬\xad"
 _NUMBER = re.compile(r"^\W*(?:(?:page|p|pg|seite|s)\b\.?\s*)?[\dlIOoSB|]{1,4}(?:\s*(?:/|of|von)\s*[\dlIOoSB|]{1,4})?\W*$", re.IGNORECASE)
@@ -178,6 +178,13 @@ class Reader:
         for _, text, at in self.editor.corrections(token):
             if text.lower() in self.known and len(text) >= 2:
                 return text, at
+        # one sign among letters, of a kind the training sample did not show
+        signs = [i for i, c in enumerate(token) if not c.isalpha()]
+        if len(signs) == 1 and len(token) >= 4 and (token[signs[0]].isdigit() or token[signs[0]] in "!@+|#$%&*"):
+            i = signs[0]
+            fits = [w for c in string.ascii_lowercase if (w := token[:i] + c + token[i + 1 :]).lower() in self.known]
+            if len(fits) == 1:
+                return fits[0], [i]
         return None
 
 
@@ -219,7 +226,7 @@ def joins(line: str, nxt: str, reader: Reader) -> bool:
 
 def train_joiner(texts: list[str], known: frozenset[str]) -> Joiner:
     """From line ends of scans: those with a sign were broken unless the pieces make a known hyphened word and no
-    known whole one; without a sign, two known words were not broken, and a whole word of other pieces was."""
+    known whole one; those without were only if the pieces make a known word and are not both words."""
     rows: list[tuple[list[str], bool]] = []
     for text in texts:
         lines = [s for x in text.split("\n") if (s := x.strip())]
@@ -231,8 +238,8 @@ def train_joiner(texts: list[str], known: frozenset[str]) -> Joiner:
             both, whole, pair = left in known and right in known, left + right in known, f"{left}-{right}" in known
             if sign:
                 rows.append((join_features(*h, known), whole or not pair))
-            elif both or whole:
-                rows.append((join_features(*h, known), not both))
+            else:
+                rows.append((join_features(*h, known), whole and not both))
     pairs = [w.split("-") for w in known if w.count("-") == 1]
     rows += [(join_features("-", a, b, known), False) for a, b in pairs if a and b and a + b not in known] * 3
     return Joiner().train(rows)
@@ -268,7 +275,7 @@ def read(text: str, title: str | None, shared: set[int], reader: Reader) -> Page
             if k == 0 and carry is not None:
                 half, raw, carry = carry, carry[1] + raw, None
             if broken and k == len(words) - 1:
-                carry = (half[0] if half else i, raw[:-1])
+                carry = (half[0] if half else i, raw[:-1] if raw[-1] in HYPHENS else raw)
                 continue
             lead, token = len(raw) - len(raw.lstrip(_OUTER)), raw.strip(_OUTER)
             fix = reader.correct(token)
@@ -330,18 +337,15 @@ def _distance(a: str, b: str) -> int:
 def train(unknown: dict[str, int], known: dict[str, int]) -> Editor:
     """From unknown words of scans and known words, with their counts.
 
-    Only pairs with one local difference teach, and only differences that several words or many records share; words with a
+    Only pairs with one local difference teach, and only differences that several words share; words with a
     capital teach nothing, since a rare name is often near another name.
     """
     words = [w for w in unknown if 4 <= len(w) <= 30 and w == w.lower() and _LETTER.search(w) and not _DIGITISH.match(w)]
     pairs = [(s, t) for s, t in nearest(words, known) if 0 < len(_edit(s, t)[0]) <= 2 and 0 < len(_edit(s, t)[1]) <= 2]
     edits = Counter(_edit(s, t) for s, t in pairs)
-    times: Counter = Counter()
-    for s, t in pairs:
-        times[_edit(s, t)] += unknown[s]
-    firm = [(s, t) for s, t in pairs if edits[_edit(s, t)] >= SHARED_EDITS or times[_edit(s, t)] >= OFTEN]
+    firm = [(s, t) for s, t in pairs if edits[_edit(s, t)] >= SHARED_EDITS]
     keep = sorted(known, key=lambda w: (-known[w], w))[: max(200, len(firm))]
-    return Editor().train(firm + [(w, w) for w in keep], least=1)
+    return Editor().train(firm + [(w, w) for w in keep], least=SHARED_EDITS)
 
 
 def _edit(seen: str, true: str) -> tuple[str, str]:
