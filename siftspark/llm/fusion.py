@@ -2,8 +2,8 @@
 
 Scores become percentiles of their own list; every hit's percentiles, sorted ascending, are compared
 lexicographically (leximin), so that a weak score cannot hide behind a strong one. A hit that has the better
-place than every other hit in more than half of the query's lists is put first: leximin alone cannot promise
-that, because one bad list decides its order.
+place than every other hit in more than half of the query's lists is put first: the first hit in leximin order is
+checked for that, and where it fails, since one bad list decides that order, a tournament finds the one hit that can.
 
 No query or list is ever gathered in one task: places in a list are counted on distinct scores inside score
 buckets, and the majority winner is found by a two-level tournament over bounded blocks.
@@ -82,19 +82,33 @@ def _champion(rows: str) -> str:
     return f"aggregate({rows}, cast(null as struct<image_id:string,lists:bigint,places:map<string,int>>), (c, x) -> if(c is null or 2 * {_wins('x', 'c')} > x.lists, x, c))"
 
 
-def majority_winner(prof: DataFrame, block: int = BLOCK) -> DataFrame:
-    """query_id, image_id of the hit that beats every other hit of its query in more than half of the lists."""
+def _unbeaten(prof: DataFrame, lead: DataFrame) -> DataFrame:
+    """The exact check: of (query_id, c), those that beat every other hit of their query in most lists."""
+    joined = prof.select("query_id", F.struct("image_id", "lists", "places").alias("o")).join(lead, "query_id")
+    lost = F.expr(f"o.image_id <> c.image_id and 2 * {_wins('c', 'o')} <= c.lists")
+    checked = joined.groupBy("query_id", F.col("c.image_id").alias("image_id")).agg(F.sum(lost.cast("int")).alias("lost"))
+    return checked.where("lost = 0").select("query_id", "image_id")
+
+
+def _tournament(prof: DataFrame, block: int) -> DataFrame:
+    """query_id, c: the only hit of a query that may win; blocks of hits first, then their champions."""
     size = prof.groupBy("query_id").agg(F.count("*").alias("hits"))
     salt = F.pmod(F.xxhash64("image_id"), F.ceil(F.col("hits") / block).cast("long"))
     entry = F.collect_list(F.struct("image_id", "lists", "places")).alias("r")
     one = prof.join(size, "query_id").groupBy("query_id", salt.alias("salt")).agg(entry)
     top = one.select("query_id", F.expr(_champion("r")).alias("c"))
-    two = top.groupBy("query_id").agg(F.collect_list("c").alias("r")).select("query_id", F.expr(_champion("r")).alias("c"))
-    # the exact check: the champion against every other hit of its query
-    joined = prof.select("query_id", F.struct("image_id", "lists", "places").alias("o")).join(two, "query_id")
-    lost = F.expr(f"o.image_id <> c.image_id and 2 * {_wins('c', 'o')} <= c.lists")
-    checked = joined.groupBy("query_id", F.col("c.image_id").alias("image_id")).agg(F.sum(lost.cast("int")).alias("lost"))
-    return checked.where("lost = 0").select("query_id", "image_id")
+    return top.groupBy("query_id").agg(F.collect_list("c").alias("r")).select("query_id", F.expr(_champion("r")).alias("c"))
+
+
+def majority_winner(prof: DataFrame, block: int = BLOCK) -> DataFrame:
+    """query_id, image_id of the hit that beats every other hit of its query in more than half of the lists.
+
+    The first hit in leximin order is checked; only queries in which it fails go to a tournament.
+    """
+    lead = prof.groupBy("query_id").agg(F.max_by(F.struct("image_id", "lists", "places"), F.struct("leximin", "image_id")).alias("c"))
+    first = checkpoint(_unbeaten(prof, lead))
+    rest = prof.join(first.select("query_id"), "query_id", "left_anti")
+    return first.unionByName(_unbeaten(rest, _tournament(rest, block)))
 
 
 def ranking(hits: DataFrame, large: int = LARGE, block: int = BLOCK) -> DataFrame:
