@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from siftspark.llm import copies, edits, fusion, languages, leaks, mixing, neighbours, residue, scans
+from siftspark.llm.sql import ORACLE
 from siftspark.session import table
 
 
@@ -94,4 +95,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_top10, p3_found, p3_ranking, p4_found, p4_main_text, p5_found, p6_found, p6_records, p7_found, p7_repaired, p8_found, p8_coverage, p9_found, p9_mix, p9_shares, p10_found, p10_segments)
 }
 
-ORACLE: dict[str, str] = {}
+
+__all__ = ["ORACLE", "QUERIES"]
