@@ -70,6 +70,17 @@ def rrf(vector: DataFrame, keyword: DataFrame, k: int, c: int = RRF) -> DataFram
     return out.orderBy(F.desc("score"), "id").limit(k)
 
 
+def rrf_lists(hits: DataFrame, group: str, c: int = RRF) -> DataFrame:
+    """group, id, score, sources: fusion of any number of long lists (group, source, id, score) by places alone.
+
+    Lists of different spaces are never compared by score. Null and NaN scores have no place."""
+    ok = hits.where(F.col("score").isNotNull() & ~F.isnan("score"))
+    best = ok.groupBy(group, "source", "id").agg(F.max("score").alias("score"))
+    w = Window.partitionBy(group, "source").orderBy(F.desc("score"), "id")
+    placed = best.select(group, "id", "source", (1.0 / (c + F.row_number().over(w))).alias("part"))
+    return placed.groupBy(group, "id").agg(F.sum("part").alias("score"), F.array_join(F.array_sort(F.collect_set("source")), "+").alias("sources"))
+
+
 def near_enough(hits: DataFrame, distance: float) -> DataFrame:
     """Hits above the relevance cliff."""
     return hits.where(-F.col("score") <= distance)

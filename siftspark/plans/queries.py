@@ -16,6 +16,7 @@ from siftspark.functions import vectors as V
 from siftspark.functions.html import WALLS, extract, page_state
 from siftspark.operators import components, dedup, hits, keyword, nearest, state, tags
 from siftspark.session import table
+from siftspark.sources import capture
 
 MODEL = "siglip2-base"
 KEYWORDS = "lighthouse storm"
@@ -293,6 +294,16 @@ def hybrid_rrf(spark, d):
     return hits.rrf(near, words, 60).select("id", F.round("score", 9).alias("score"), "source")
 
 
+def hits_rrf(spark, d):
+    h = table(spark, d, "search_hits").select("query_id", "source", F.col("image_id").alias("id"), "score")
+    return hits.rrf_lists(h, "query_id").select("query_id", "id", F.round("score", 9).alias("score"), "sources")
+
+
+def captured_notes(spark, d):
+    rows = table(spark, d, "documents").select(F.lit(None).cast("string").alias("url"), "text", "title", F.lit(None).cast("string").alias("comment"))
+    return capture.captured(rows).select("name", F.sha2("content", 256).alias("digest"))
+
+
 def relevance_cliff(spark, d):
     _, q = _query_vector(spark, d)
     return hits.near_enough(nearest.nearest(table(spark, d, "vectors"), "image", MODEL, q, None), 1.2).select("id", "rowid", F.round("score", 6).alias("score"))
@@ -431,7 +442,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         query_facets, normalize_urls, fetchable_reasons, bookmark_dedupe, dedupe_stats, link_lines, financial_names, financial_contents,
         knn_topk_l2, knn_cosine, knn_named, similar_images, vector_tables, zero_shot_tags, facet_all_tags, facet_admits_items, routing_gate,
         hidden_ids, hits_without_hidden, top_labelled, backfill_untagged, bm25_topk, bm25_all, bm25_field, phrase_match, corpus_words,
-        hybrid_concat, hybrid_rrf, relevance_cliff, resolve_hits, folder_scope, incremental_diff, vanished_files, merged_files,
+        hybrid_concat, hybrid_rrf, hits_rrf, captured_notes, relevance_cliff, resolve_hits, folder_scope, incremental_diff, vanished_files, merged_files,
         prune_orphans, purged_counts, links_diff, source_backfill, book_dedupe, status_counts, text_embed_stub, page_status,
         html_extract, ingest_stats, link_components, event_windows, order_report, customers_without_orders,
     )
@@ -525,6 +536,8 @@ UNION ALL SELECT 'duplicates merged', count(*) - count(DISTINCT url_key) FROM ke
     "corpus_words": f"WITH {_SQL_DOCS}, t AS (SELECT sha256(concat_ws(chr(1), id, text, source)) AS r, unnest(list_concat({_sql_words('id')}, {_sql_words(chr(99) + 'oalesce(text, ' + chr(39) * 2 + ')')})) AS word FROM docs) SELECT word, count(DISTINCT r) AS rows, count(*) AS occurrences FROM t GROUP BY word HAVING count(DISTINCT r) >= 3",
     "hybrid_concat": f"WITH {_sql_bm25('lantern')}, {_NEAR_T}, {_near_text(40)}, kw AS (SELECT id, score FROM scored ORDER BY score DESC, id LIMIT 40), both_ AS (SELECT id, score, 'vector' AS source, 0 AS part FROM near UNION ALL SELECT id, score, 'fts', 1 FROM kw WHERE id NOT IN (SELECT id FROM near)), {_SQL_LAST_ANY} SELECT b.id, round(b.score, 6) AS score, b.source, coalesce(m.path, l.i.src_path) AS path, CASE WHEN m.path IS NOT NULL THEN 'image' ELSE l.i.kind END AS kind, CASE WHEN m.path IS NULL THEN l.i.title END AS title, CASE WHEN m.path IS NULL THEN l.i.url END AS url, CASE WHEN m.path IS NULL THEN l.i.snippet END AS snippet FROM both_ b LEFT JOIN images m ON m.id = b.id LEFT JOIN last l ON l.id = b.id WHERE m.path IS NOT NULL OR l.id IS NOT NULL ORDER BY part, b.score DESC, b.id LIMIT 60",
     "hybrid_rrf": f"WITH {_sql_bm25('lantern')}, {_NEAR_T}, {_near_text(100)}, kw AS (SELECT id, score FROM scored ORDER BY score DESC, id LIMIT 100), placed AS (SELECT id, 1.0::DOUBLE / (60 + row_number() OVER (ORDER BY score DESC, id)) AS part, 'vector' AS source FROM (SELECT id, max(score) AS score FROM near GROUP BY id) UNION ALL SELECT id, 1.0::DOUBLE / (60 + row_number() OVER (ORDER BY score DESC, id)), 'fts' FROM (SELECT id, max(score) AS score FROM kw GROUP BY id)), f AS (SELECT id, sum(part) AS s, CASE WHEN count(*) > 1 THEN 'both' ELSE min(source) END AS source FROM placed GROUP BY id) SELECT id, round(s, 9) AS score, source FROM f ORDER BY s DESC, id LIMIT 60",
+    "hits_rrf": "WITH b AS (SELECT query_id, source, image_id AS id, max(score) AS score FROM search_hits WHERE score IS NOT NULL AND NOT isnan(score) GROUP BY 1, 2, 3), p AS (SELECT query_id, id, source, 1.0::DOUBLE / (60 + row_number() OVER (PARTITION BY query_id, source ORDER BY score DESC, id)) AS part FROM b) SELECT query_id, id, round(sum(part), 9) AS score, string_agg(source, '+' ORDER BY source) AS sources FROM p GROUP BY 1, 2",
+    "captured_notes": f"SELECT DISTINCT 'note-' || substr(sha256(c), 1, 8) || '.md' AS name, sha256(c) AS digest FROM (SELECT CASE WHEN coalesce(t, '') <> '' THEN '# ' || t || chr(10) || chr(10) ELSE '' END || b || chr(10) AS c, b FROM (SELECT regexp_replace(title, '^{_WS}|{_WS}$', '', 'g') AS t, regexp_replace(coalesce(text, ''), '^{_WS}|{_WS}$', '', 'g') AS b FROM documents)) WHERE b <> ''",
     "relevance_cliff": f"{_KNN} SELECT id, rowid, round(s, 6) AS score FROM {_NEAR} WHERE -s <= 1.2",
     "resolve_hits": f"WITH {_LAST} {_RESOLVED}",
     "folder_scope": f"WITH {_LAST} SELECT h.id, query_id, coalesce(m.path, l.src_path) AS path, CASE WHEN m.path IS NOT NULL THEN 'image' ELSE l.kind END AS kind FROM (SELECT DISTINCT image_id AS id, query_id FROM search_hits) h LEFT JOIN (SELECT * FROM images WHERE folder = '{FOLDER}') m ON m.id = h.id LEFT JOIN (SELECT * FROM last WHERE id IN (SELECT id FROM {_SQL_ITEMS} WHERE folder = '{FOLDER}')) l ON l.id = h.id WHERE m.path IS NOT NULL OR l.id IS NOT NULL",

@@ -48,9 +48,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def checkpoint(df: DataFrame) -> DataFrame:
     """Write df to the shared folder of spark.checkpoint.dir and cut its lineage.
 
-    The cluster names the folder; a temporary one is set only where none is (tests, one machine).
+    The session names the folder. Where it names none, a temporary one is set on a single machine (tests), and a
+    cluster is an error, since its executors share no temporary folder.
     """
-    sc = df.sparkSession.sparkContext
-    if not (sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir")):
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix=f"siftspark-{os.getpid()}-"))
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    if not sc.getCheckpointDir():
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not sc.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix=f"siftspark-{os.getpid()}-")
+        sc.setCheckpointDir(folder)
     return df.checkpoint(eager=True)

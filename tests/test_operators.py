@@ -3,7 +3,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from siftspark.operators import components, dedup, hits, keyword, nearest, state, tags
+from siftspark.operators import clusters, components, dedup, hits, keyword, nearest, state, tags
 
 
 def rows(df):
@@ -184,3 +184,20 @@ def test_components(spark):
     star = spark.createDataFrame([("m", f"x{i}") for i in range(300)], "a string, b string")
     assert {r.root for r in components.components(star).collect()} == {"m"}
     assert components.components(star.where("false")).count() == 0
+
+
+def test_density_clusters(spark):
+    nodes = spark.createDataFrame([(x,) for x in "abcdefgz"], "node string")
+    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("a", "c"), ("c", "d"), ("e", "f"), ("b", "a")], "a string, b string")
+    assert dict(rows(clusters.density_clusters(nodes, edges, 3))) == {"a": "a", "b": "a", "c": "a", "d": "a", "e": None, "f": None, "g": None, "z": None}
+    v = spark.createDataFrame([("a", [1.0, 0.0]), ("a", [0.0, 1.0]), (None, [5.0, 5.0])], "cluster string, embedding array<float>")
+    c = clusters.centroids(v)
+    assert rows(c) == [("a", [0.5, 0.5], 2)]
+    new = spark.createDataFrame([("x", [2.0, 2.0]), ("y", [-1.0, 1.0])], "id string, embedding array<float>")
+    assert rows(clusters.assigned(new, c, 0.9)) == [("x", "a"), ("y", None)]
+
+
+def test_fusion_of_many_lists(spark):
+    h = spark.createDataFrame([(1, "a", "x", 5.0), (1, "a", "y", 9.0), (1, "b", "x", -1.0), (1, "b", "z", None), (1, "b", "w", float("nan")), (1, "a", "x", 4.0)], "q int, source string, id string, score double")
+    got = {r.id: (r.score, r.sources) for r in hits.rrf_lists(h, "q").collect()}
+    assert got == {"x": (pytest.approx(1 / 62 + 1 / 61), "a+b"), "y": (pytest.approx(1 / 61), "a")}

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from siftspark.plans import search
 from siftspark.plans.ingest import Processors, ingest_all, ingest_folder
 from siftspark.plans.store import Store
-from siftspark.sources import bookmarks, config, files
+from siftspark.operators import dedup
+from siftspark.sources import bookmarks, capture, config, files, sinks
 from siftspark.streaming import feeds
 
 
@@ -159,3 +160,25 @@ def test_windows_and_sessions(spark, tmp_path):
     stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "e"))
     feeds.windowed(feeds.distinct(stream), late=None).writeStream.format("memory").queryName("w").outputMode("append").trigger(availableNow=True).start().awaitTermination()
     assert spark.table("w").count() >= 0
+
+
+def test_captures(spark, tmp_path):
+    df = spark.createDataFrame([("https://a.b/ ", "ignored", None, "why  it\nmatters"), (None, " body ", " T ", None), ("", "plain", "", None), (None, " ", "T", None)], "url string, text string, title string, comment string")
+    got = sorted((r.kind, r.content) for r in capture.captured(df).collect())
+    assert got == [("link", "https://a.b/ why it matters\n"), ("note", "# T\n\nbody\n"), ("note", "plain\n")]
+    folder = str(tmp_path / "drop")
+    assert capture.land(capture.captured(df), folder) == 3 and capture.land(capture.captured(df), folder) == 0
+    posts = spark.createDataFrame([("1", "A  b", "https://x.y/z.PNG", "t"), ("2", "T", "https://x.y/", "text"), ("3", "T", "https://x.y/", None), ("4", None, None, None)], "id string, title string, url string, text string")
+    assert [(r.kind, r.name, r.content) for r in capture.saved_posts(posts).orderBy("name").collect()] == [("image", "post-1.png", "https://x.y/z.PNG"), ("note", "post-2.md", "# T\n\ntext\n"), ("link", "saved.links", "https://x.y/ T\n")]
+
+
+def test_sinks(spark, tmp_path):
+    lines = spark.createDataFrame([("b", "b x"), ("a", "a y")], "url string, line string")
+    sinks.write_links(lines, str(tmp_path / "out"))
+    assert [r.value for r in spark.read.text(str(tmp_path / "out")).collect()] == ["a y", "b x"]
+    books = dedup.merged_books(spark.createDataFrame([("The Sea", "Ann", 0.9, 1), ("Odd", "Bo", 0.9, 2), ("Low", "Cy", 0.2, 3)], "title string, author string, confidence double, seq int"))
+    cat = spark.createDataFrame([("the sea", "https://c/1", "The Sea", ["Ann B"], 1990, ["s"] * 20, "long  text"), ("odd", "https://c/2", "Something else", [], None, [], None)], "title_key string, key string, title string, authors array<string>, year int, subjects array<string>, description string")
+    matched, left = sinks.catalogued(books, cat)
+    assert [r.line for r in matched.collect()] == ["https://c/1 The Sea — Ann B (1990) [" + "; ".join(["s"] * 12) + "] long text"]
+    assert sorted(r.title for r in left.collect()) == ["Low", "Odd"]
+    assert sinks.review_lines(left).orderBy("confidence").first().line == "0.20\tLow\tCy"
