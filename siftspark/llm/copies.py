@@ -37,7 +37,7 @@ def title_key(title: str | None) -> str:
         return ""
     text = unicodedata.normalize("NFC", title)
     parts = (_NOISE.sub("", p.casefold()) for p in _SPLIT.split(text))
-    return "\x1f".join(sorted(p for p in parts if p)).replace("\x1f", "")
+    return "".join(sorted(parts))
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from siftspark.llm import copies, edits, fusion, languages, leaks, mixing, neighbours, residue, scans
 from siftspark.llm.sql import ORACLE
@@ -47,12 +48,18 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return residue.residues(table(spark, d, "items"))
 
 
+def p5_kept(spark: SparkSession, d: str) -> DataFrame:
+    return residue.kept(table(spark, d, "items")).select("id", "kind", "src_path")
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return copies.copies(table(spark, d, "bookmarks"))
 
 
 def p6_records(spark: SparkSession, d: str) -> DataFrame:
-    return copies.records(table(spark, d, "bookmarks"))
+    marks = table(spark, d, "bookmarks")
+    first = marks.select(F.col("bookmark_id").alias("keep_id"), "url", "title")
+    return copies.records(marks).join(first, "keep_id", "left")
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
@@ -87,12 +94,16 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return languages.mislabelled(table(spark, d, "documents"))
 
 
+def p10_documents(spark: SparkSession, d: str) -> DataFrame:
+    return languages.documents(table(spark, d, "documents"))
+
+
 def p10_segments(spark: SparkSession, d: str) -> DataFrame:
     return languages.segments(table(spark, d, "documents")).drop("letters", "lines")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_top10, p3_found, p3_ranking, p4_found, p4_main_text, p5_found, p6_found, p6_records, p7_found, p7_repaired, p8_found, p8_coverage, p9_found, p9_mix, p9_shares, p10_found, p10_segments)
+    f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_top10, p3_found, p3_ranking, p4_found, p4_main_text, p5_found, p5_kept, p6_found, p6_records, p7_found, p7_repaired, p8_found, p8_coverage, p9_found, p9_mix, p9_shares, p10_found, p10_documents, p10_segments)
 }
 
 
