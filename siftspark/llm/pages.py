@@ -214,7 +214,7 @@ def label_lines(body: str, host: str, web: Web, own: set[int], odds: Callable[[s
             while j < n and (_BULLET.match(lines[j]) or got[j] == OTHER and not (odds and odds(lines[j]) > 0)):
                 j += 1
             end = j
-            if j < n and got[j] == TEXT:  # a title and a short heading right before a paragraph are the text's own
+            if j < n and got[j] == TEXT and not (odds and odds(lines[j]) > 0):  # a title and a short heading right before a paragraph are the text's own
                 while end > max(i + 1, j - 2) and not _BULLET.match(lines[end - 1]):
                     end -= 1
                     if lines[end].count(" ") >= TITLE:
