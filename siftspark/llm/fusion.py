@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from siftspark.llm.buckets import sized
 from siftspark.session import checkpoint
 
 BLOCK = 256  # hits of one query in one tournament block
@@ -56,10 +57,16 @@ def places(best: DataFrame, large: int = LARGE) -> DataFrame:
     return best.join(placed, [*q, "score"], "left")
 
 
+def _short(hits: DataFrame) -> DataFrame:
+    """Hits with 64-bit hashes for ids, which only have to differ within a query; ids are long texts."""
+    ids = F.when(F.col("image_id").isNotNull(), F.xxhash64("image_id"))
+    return hits.select("query_id", ids.alias("image_id"), "score", "source")
+
+
 def profiles(hits: DataFrame, large: int = LARGE) -> DataFrame:
-    """query_id, image_id, lists (number of the query's lists), places (map source -> place), leximin
+    """query_id, image_id (hashed), lists (number of the query's lists), places (map source -> place), leximin
     (ascending percentiles, 0 for an absent list)."""
-    placed = places(best_scores(hits), large)
+    placed = places(best_scores(_short(hits)), large)
     lists = placed.groupBy("query_id").agg(F.countDistinct("source").alias("lists"))
     part = F.col("place").isNotNull()
     share = (F.col("n") - F.col("place") + 1) / F.col("n")
@@ -79,7 +86,7 @@ def _wins(a: str, b: str) -> str:
 
 def _champion(rows: str) -> str:
     """SQL: the one entry of an array that may beat all others; a majority winner is never replaced."""
-    return f"aggregate({rows}, cast(null as struct<image_id:string,lists:bigint,places:map<string,int>>), (c, x) -> if(c is null or 2 * {_wins('x', 'c')} > x.lists, x, c))"
+    return f"aggregate({rows}, cast(null as struct<image_id:bigint,lists:bigint,places:map<string,int>>), (c, x) -> if(c is null or 2 * {_wins('x', 'c')} > x.lists, x, c))"
 
 
 def _unbeaten(prof: DataFrame, lead: DataFrame) -> DataFrame:
@@ -101,7 +108,7 @@ def _tournament(prof: DataFrame, block: int) -> DataFrame:
 
 
 def majority_winner(prof: DataFrame, block: int = BLOCK) -> DataFrame:
-    """query_id, image_id of the hit that beats every other hit of its query in more than half of the lists.
+    """query_id, image_id (hashed) of the hit that beats every other hit of its query in more than half of the lists.
 
     The first hit in leximin order is checked; only queries in which it fails go to a tournament.
     """
@@ -116,7 +123,9 @@ def ranking(hits: DataFrame, large: int = LARGE, block: int = BLOCK) -> DataFram
     smaller image_id first."""
     prof = checkpoint(profiles(hits, large))
     first = majority_winner(prof, block).withColumn("first", F.lit(1))
-    rows = prof.join(first, ["query_id", "image_id"], "left").select("query_id", "image_id", "leximin", F.coalesce("first", F.lit(0)).alias("first"))
+    names = hits.dropna(subset=["query_id", "source", "image_id"]).select("query_id", F.xxhash64("image_id").alias("h"), "image_id").distinct()
+    rows = prof.withColumnRenamed("image_id", "h").join(first.withColumnRenamed("image_id", "h"), ["query_id", "h"], "left").join(names, ["query_id", "h"])
+    rows = rows.select("query_id", "image_id", "leximin", F.coalesce("first", F.lit(0)).alias("first"))
     order = [F.desc("first"), F.desc("leximin"), F.col("image_id")]
     # ordered ranges, kept as a table so that their numbers stay what they are; a long query spans many of them
     parts = int(hits.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -129,4 +138,6 @@ def ranking(hits: DataFrame, large: int = LARGE, block: int = BLOCK) -> DataFram
 
 
 def first_hits(hits: DataFrame, large: int = LARGE, block: int = BLOCK) -> DataFrame:
-    return majority_winner(checkpoint(profiles(hits, large)), block)
+    first = checkpoint(majority_winner(checkpoint(profiles(hits, large)), block).withColumnRenamed("image_id", "h"))
+    rows = hits.dropna(subset=["query_id", "source", "image_id"]).select("query_id", "image_id", F.xxhash64("image_id").alias("h"))
+    return rows.join(sized(first), ["query_id", "h"]).select("query_id", "image_id").distinct()
