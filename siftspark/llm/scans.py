@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siftspark.llm.buckets import sized
 from siftspark.llm.pages import key
 from siftspark.llm.perceptron import Editor, Joiner, align
 from siftspark.llm.residue import trusted
@@ -356,10 +357,10 @@ def _edit(seen: str, true: str) -> tuple[str, str]:
 
 
 def records(items: DataFrame, ocr: DataFrame) -> DataFrame:
-    """rec_table, rec_id, model, title, text of scan candidates, each once."""
+    """rec_table, rec_id, model, title, text of scan candidates; repeated rows stay, results are made distinct."""
     a = ocr.where("image_id is not null and text is not null").select(F.lit("ocr_text").alias("rec_table"), F.col("image_id").cast("string").alias("rec_id"), F.coalesce(F.col("model").cast("string"), F.lit("")).alias("model"), F.lit(None).cast("string").alias("title"), F.col("text").cast("string"))
     b = items.where("kind = 'pdf' and id is not null and body is not null").select(F.lit("items").alias("rec_table"), F.col("id").cast("string").alias("rec_id"), F.lit("").alias("model"), F.col("title").cast("string"), F.col("body").cast("string").alias("text"))
-    return a.unionByName(b).distinct()
+    return a.unionByName(b)
 
 
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -398,7 +399,7 @@ def learn(items: DataFrame, ocr: DataFrame, size: int = TRAIN) -> Reader:
     seen = counts.where("scan").select("word", "n", F.lower("word").alias("low"))
     unknown = seen.join(clean.select(F.col("word").alias("low")), "low", "left_anti").where(F.col("word").rlike(r"\p{L}") & (F.length("word") >= 4))
     rows = unknown.orderBy(F.xxhash64("word")).limit(size).select("word", "n").collect()
-    lines = texts.where(~F.col("typed")).select("text").distinct().orderBy(F.xxhash64("text")).limit(JOIN_TRAIN).collect()
+    lines = texts.where(~F.col("typed")).select("text").orderBy(F.xxhash64("text")).limit(JOIN_TRAIN).collect()
     joiner = train_joiner([r.text for r in lines if wrapped(r.text)], frozenset(known))
     return Reader(frozenset(known), common, train({r.word: r.n for r in rows if r.word.lower() not in common}, known), joiner)
 
@@ -432,7 +433,7 @@ def readings(items: DataFrame, ocr: DataFrame) -> DataFrame:
     """rec_table, rec_id, model, scanned, faults, text: every record read, with its repaired text."""
     rows = records(items, ocr)
     reader = items.sparkSession.sparkContext.broadcast(learn(items, ocr))
-    full = rows.join(shared_headers(rows), ["rec_table", "rec_id"], "left")
+    full = rows.join(sized(checkpoint(shared_headers(rows))), ["rec_table", "rec_id"], "left")  # texts stay where they are
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         r = reader.value
@@ -461,4 +462,4 @@ def faults(items: DataFrame, ocr: DataFrame) -> DataFrame:
 
 def repaired(items: DataFrame, ocr: DataFrame) -> DataFrame:
     """rec_table, rec_id, model, text: continuous paragraphs of the scanned records."""
-    return readings(items, ocr).where("scanned").select("rec_table", "rec_id", "model", "text")
+    return readings(items, ocr).where("scanned").select("rec_table", "rec_id", "model", "text").distinct()
