@@ -132,7 +132,7 @@ def _banded(sets: DataFrame, bands: int, rows: int) -> DataFrame:
 
 def similar(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, recall: float = RECALL, rows: int = ROWS, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
     """(members: id, node; pairs of classes: a, b, similarity)."""
-    sets = checkpoint(_sets(docs.select("id", "text").distinct(), words))
+    sets = checkpoint(_sets(docs.select("id", "text"), words))
     members = sets.select("id", "node").distinct()
     classes = checkpoint(sets.dropDuplicates(["node"]).select("node", "grams"))
     p = (1 + similarity) / 2
