@@ -1,15 +1,18 @@
 """Main text of web pages, by consensus on line paths.
 
 Page text comes line by line; a line's path is its text with site name, numbers, separators and inner capitals
-generalised. Every page votes for its paths in Spark: a path is furniture of a host if a large share of the
-host's pages has it, and furniture of the web if a share of all hosts or pages has it. Opening words ("Tags:",
+generalised. Every text votes for its paths in Spark, once for each host that holds it and once for the web: a
+path is furniture of a host if a large share of the host's texts has it, and furniture of the web if a share of
+all hosts or texts has it. A page without a paragraph, fixed marks of messages aside, has no vote, and a
+page's only paragraph has none from its own page. Opening words ("Tags:",
 "Filed under") and list headers are voted on in the same way. Pages are then read again with the winning paths:
 runs of menu words, separated lists, linked lists under a winning header and all that follows the last
 paragraph go too. Global winners are bounded by their share; host winners travel as hashes.
 
 Defined cases: null, empty and blank bodies have no lines; lines are those between line feeds, numbered from 0;
 a first line in lower case is the user's own comment; lines that a residue model calls messages are no furniture;
-a url without host votes under the empty host; repeated rows vote once; extra columns are ignored.
+a url without host votes under the empty host; copies of a text, whatever their id, url, comment or blank lines,
+vote once a host, and for the web under their first host only; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,9 +23,10 @@ from dataclasses import dataclass, field
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siftspark.llm.buckets import sized
 from siftspark.session import checkpoint
 
 WEB_SHARE = 0.04  # of hosts or pages: furniture of the web
@@ -105,21 +109,21 @@ def openings(path: str) -> list[str]:
     return out
 
 
-def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """host, kind (p path, o opening, l path before a list), key, first, n: one row per page and path."""
+def _votes(batches: Iterator[pa.RecordBatch], marks: re.Pattern | None) -> Iterator[pa.RecordBatch]:
+    """host, kind (p path, o opening, f first word, l path before a list), key, first, once: one row per text and path."""
     for b in batches:
         out = []
-        for url, body in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            host = host_of(url)
+        for host, content, once in zip(*(b.column(k).to_pylist() for k in range(3))):
             letters = site_letters(host)
-            lines = [s for x in body.split("\n") if (s := x.strip())]
-            if not any(x.count(" ") >= PARAGRAPH for x in lines):
+            lines = [s for x in content.split("\n") if (s := x.strip())]
+            paths = [path_of(x, letters) for x in lines]
+            paragraphs = {p for x, p in zip(lines, paths) if x.count(" ") >= PARAGRAPH and not (marks and marks.search(x))}
+            if not paragraphs:
                 continue  # a page of messages or nothing has no vote
             seen: set[tuple[str, int, int]] = set()
-            for i, line in enumerate(lines):
-                if i == 0 and line[0].islower():
-                    continue
-                p = path_of(line, letters)
+            for i, (line, p) in enumerate(zip(lines, paths)):
+                if paragraphs == {p}:
+                    continue  # may be all the page says
                 k = key(p)
                 seen.add(("p", k, 0))
                 if i + 1 < len(lines) and _BULLET.match(lines[i + 1]) and not _BULLET.match(line):
@@ -128,25 +132,50 @@ def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     for o in openings(p):
                         seen.add(("o", key(o), key(p.split(" ", 1)[0])))
                     seen.add(("f", key(p.split(" ", 1)[0]), 0))
-            out += [(host, *s) for s in seen]
-        cols = list(zip(*out)) if out else [[]] * 4
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.int64(), pa.int64()))], ["host", "kind", "key", "first"])
+            out += [(host, *s, once) for s in seen]
+        cols = list(zip(*out)) if out else [[]] * 5
+        types = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int32())
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["host", "kind", "key", "first", "once"])
+
+
+def link_rows(items: DataFrame) -> DataFrame:
+    """id, url, body of link items with a body."""
+    return items.where((F.col("kind") == "link") & F.col("body").isNotNull() & F.col("id").isNotNull()).select(F.col("id").cast("string"), F.col("url").cast("string"), F.col("body").cast("string"))
 
 
 def link_pages(items: DataFrame) -> DataFrame:
-    """id, url, body of link items with a body, each text once."""
-    return items.where((F.col("kind") == "link") & F.col("body").isNotNull() & F.col("id").isNotNull()).select(F.col("id").cast("string"), F.col("url").cast("string"), F.col("body").cast("string")).distinct()
-
-
-def consensus(pages: DataFrame) -> tuple[Web, DataFrame]:
-    """(web winners, host winners: host, keys)."""
-    votes = pages.select("url", "body").mapInArrow(_votes, "host string, kind string, key long, first long")
-    by_host = checkpoint(votes.groupBy("host", "kind", "key", "first").agg(F.count("*").alias("n")))
-    # every page votes for its own lines; a page's first words stand for the page count of its host
-    total = pages.select("url").mapInArrow(_hosts, "host string").groupBy("host").agg(F.count("*").alias("pages"))
-    total = checkpoint(total)
-    hosts, all_pages = total.agg(F.count("*"), F.coalesce(F.sum("pages"), F.lit(0))).first()
-    web = by_host.groupBy("kind", "key", "first").agg(F.count("*").alias("hosts"), F.sum("n").alias("n"))
+    """link_rows, each once."""
+    return link_rows(items).distinct()
+
+
+def _host() -> Column:
+    """host_of as a column."""
+    host = F.regexp_extract(F.lower("url"), r"^\s*[a-z]+://(?:[^/@]*@)?([^/:?#\s]+)", 1)
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(F.coalesce(host, F.lit("")), r"^www\.", ""), r"^m\.", ""), r"^blog\.", "")
+
+
+def contents(rows: DataFrame) -> DataFrame:
+    """host, content, h: stripped lines of a page without blank ones and the user's comment, and their hash."""
+    lines = F.filter(F.transform(F.split("body", "\n"), lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", "")), lambda x: x != "")
+    rows = rows.select(_host().alias("host"), lines.alias("lines"))
+    comment = F.coalesce(F.get("lines", F.lit(0)).rlike(r"^\p{IsLowercase}"), F.lit(False))
+    content = F.array_join(F.when(comment, F.expr("slice(lines, 2, size(lines))")).otherwise(F.col("lines")), "\n")
+    return rows.select("host", content.alias("content")).withColumn("h", F.xxhash64("content"))
+
+
+def consensus(rows: DataFrame, marks: re.Pattern | None = None) -> tuple[Web, DataFrame]:
+    """(web winners, host winners: host, keys); marks are found in messages."""
+    texts = contents(rows)
+    held = checkpoint(texts.select("host", "h").distinct())
+    shared = held.groupBy("h").agg(F.min("host").alias("head"), F.count("*").alias("n")).where("n > 1").select("h", "head")
+    shared = sized(checkpoint(shared))  # texts of several hosts
+    once = F.coalesce(F.col("host") == F.col("head"), F.lit(True)).cast("int").alias("once")
+    total = checkpoint(held.join(shared, "h", "left").select("host", once).groupBy("host").agg(F.count("*").alias("pages"), F.sum("once").alias("once")))
+    hosts, all_pages = total.agg(F.count_if(F.col("once") > 0), F.coalesce(F.sum("once"), F.lit(0))).first()
+    texts = texts.distinct().join(shared, "h", "left").select("host", "content", once)
+    votes = texts.mapInArrow(lambda batches: _votes(batches, marks), "host string, kind string, key long, first long, once int")
+    by_host = checkpoint(votes.groupBy("host", "kind", "key", "first").agg(F.count("*").alias("n"), F.sum("once").alias("once")))
+    web = by_host.groupBy("kind", "key", "first").agg(F.count_if(F.col("once") > 0).alias("hosts"), F.sum("once").alias("n"))
     common = (F.col("hosts") >= max(LEAST, WEB_SHARE * hosts)) | (F.col("n") >= max(LEAST + 2, WEB_SHARE * all_pages))
     rows = checkpoint(web.where(F.col("kind").isin("p", "l", "o", "f") & common)).collect()  # bounded by the share
     pathn = {r.key: r.n for r in rows if r.kind == "p"}
@@ -156,21 +185,14 @@ def consensus(pages: DataFrame) -> tuple[Web, DataFrame]:
         openings={r.key for r in rows if r.kind == "o" and (r.key == r.first or r.n >= FIRM * firsts.get(r.first, 0))},
         headers={r.key for r in rows if r.kind == "l" and r.n >= HEADER * pathn.get(r.key, r.n)},
     )
-    own = by_host.where("kind = 'p'").join(total.where(F.col("pages") >= LEAST), "host")
+    own = by_host.where("kind = 'p'").join(total.where(F.col("pages") >= LEAST).select("host", "pages"), "host")
     own = own.where((F.col("n") >= LEAST) & (F.col("n") >= HOST_SHARE * F.col("pages")))
     return model, checkpoint(own.groupBy("host").agg(F.collect_list("key").alias("keys")))  # at most lines of a page / HOST_SHARE keys
 
 
-def _hosts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        yield pa.RecordBatch.from_arrays([pa.array([host_of(u) for u in b.column(0).to_pylist()], pa.string())], ["host"])
-
-
 def with_host(pages: DataFrame, own: DataFrame) -> DataFrame:
     """id, host, body, keys: pages with the winners of their host; a busy host is spread over salts."""
-    host = F.regexp_extract(F.lower("url"), r"^\s*[a-z]+://(?:[^/@]*@)?([^/:?#\s]+)", 1)
-    host = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.coalesce(host, F.lit("")), r"^www\.", ""), r"^m\.", ""), r"^blog\.", "")
-    rows = pages.withColumn("host", host)
+    rows = pages.withColumn("host", _host())
     if own.count() <= HOSTS_SENT:
         return rows.join(F.broadcast(own), "host", "left").select("id", "host", "body", "keys")
     spread = own.withColumn("salt", F.explode(F.array([F.lit(i) for i in range(SALTS)])))

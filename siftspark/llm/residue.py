@@ -132,7 +132,7 @@ def judged(items: DataFrame, size: int = SAMPLE) -> DataFrame:
     """id, kind, residue, furniture (line numbers): each link and pdf record with its verdict."""
     spark = items.sparkSession
     links = pages.link_pages(items)
-    web, own = pages.consensus(links)
+    web, own = pages.consensus(pages.link_rows(items), MARKERS)
     shared = spark.sparkContext.broadcast((web, fit(sample(items, web, size))))
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -183,3 +183,25 @@ def test_page_numbers(line, want):
 def test_screens_are_no_scans():
     assert not scans.wrapped("File  Edit  View\nOK\nSome lantern photographs show the lec\nSave\nA slender locker stood between the")
     assert not scans.wrapped(None) and not scans.wrapped("") and not scans.wrapped("one line only")
+
+
+def test_copies_of_a_page_vote_once(spark):
+    rows, furniture, _ = site_items()
+    rnd = random.Random(8)
+    body, bad = page("Lone Review", rnd, [f"Mirror {rnd.choice(NOUNS)}", *[sentence(rnd) for _ in range(3)]])
+    copies = [(f"c{k}", "link", f"https://lonereview.example/{k}", "t", ("keep this\n" if k % 2 else "") + body, None, None) for k in range(40)]
+    copies += [(f"m{k}", "link", f"https://mirror{k}.example/", "t", body, None, None) for k in range(9)]
+    furniture |= {r[0]: {n + r[4].startswith("keep") for n in bad} for r in copies if r[0][0] == "c"}
+    got = {}
+    for r in residue.furniture(spark.createDataFrame(rows + copies, ITEM)).collect():
+        got.setdefault(r.id, set()).add(r.line_no)
+    assert all(got.pop(f"m{k}") <= bad for k in range(9)) and got == furniture
+
+
+def test_messages_do_not_vote(spark):
+    rows, _, errors = site_items()
+    rnd = random.Random(9)
+    message = "404 Not Found: the page you asked for is not here, so check the address for errors or try again in a few minutes please."
+    rows += [(f"e{k}", "link", f"https://www.{rows[0][2].split('/')[2][4:]}/e{k}", "t", page(f"Site{'abcdefgh'[k]} Review", rnd, [message, f"Request id {rnd.choice(NOUNS)}"])[0], None, None) for k in range(8)]
+    got = {r.id for r in residue.residues(spark.createDataFrame(rows, ITEM)).collect()}
+    assert got == errors | {f"e{k}" for k in range(8)}
