@@ -5,9 +5,10 @@ same window of its sorted projections; windows are kept as bits, one cell bounda
 collision count is a population count. Vectors whose count exceeds a threshold are verified exactly.
 
 similar_pairs (all vectors against all): a single direction's window holds a constant share of all vectors, so
-candidates must collide on a whole group of directions in one of GROUPS groups; the collision count on COUNTED
-further directions then decides what is verified. The group length follows the size of the largest table so
-that a cell keeps at most CELL vectors on average. Cells with more than HOT rows are split over salts.
+candidates must collide on a whole group of directions in one of several groups; the collision count on COUNTED
+further directions then decides what is verified. The group length of a table follows its size so that a cell
+keeps at most CELL vectors on average, and the number of groups follows from that length so that a pair at the
+least cosine meets in one with probability RECALL. Cells with more than HOT rows are split over salts.
 
 top_k (a stated query set against all rows): all vectors are indexed and counted against blocks of queries; the
 window of a query widens (the threshold falls) until WIDEN * k candidates are there.
@@ -33,7 +34,7 @@ from siftspark.llm.buckets import HOT, near_pairs, sized
 from siftspark.session import checkpoint
 
 DIM = 64
-GROUPS = 32
+RECALL = 0.995  # of a pair at the least cosine; 32 groups of 12 directions at 0.90
 LEAST_BITS = 12
 CELL = 8192
 COUNTED = 128
@@ -82,27 +83,44 @@ def _base(vectors: DataFrame) -> tuple[DataFrame, list[str]]:
     return v.select((F.shiftleft(number.cast("long"), 48) + F.col("rowid")).alias("vid"), "id", "embedding"), names
 
 
-def _cells(base: DataFrame, dim: int, bits: int, groups: int, seed: int) -> DataFrame:
-    """key, node (vid), s1, s2: one row per vector and group."""
+def groups_for(bits: int, least: float, recall: float = RECALL) -> int:
+    """Groups of that many directions at which a pair at the least cosine collides on one with that probability."""
+    together = (1 - math.acos(least) / math.pi) ** bits
+    return 1 if together >= 1 else math.ceil(math.log(1 - recall) / math.log1p(-together))
+
+
+def plan_for(rows: int, least: float, recall: float = RECALL) -> tuple[int, int]:
+    """(directions in a group, groups) for a table of that many rows."""
+    bits = max(LEAST_BITS, math.ceil(math.log2(max(rows, 1) / CELL)))
+    return bits, groups_for(bits, least, recall)
+
+
+def _cells(base: DataFrame, dim: int, plans: dict[int, tuple[int, int]], seed: int) -> DataFrame:
+    """key, node (vid), s1, s2: one row per vector and group; plans holds bits and groups by table number."""
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grouped, counted = directions(dim, groups * bits, seed), directions(dim, COUNTED, seed + 1)
-        powers = (1 << np.arange(bits, dtype=np.int64))[None, None, :]
+        counted = directions(dim, COUNTED, seed + 1)
+        grouped = {plan: directions(dim, plan[0] * plan[1], seed) for plan in set(plans.values())}
         for b in batches:
-            rows, x = usable(b.column(1), dim)
-            vid = b.column(0).to_numpy()[rows]
-            key = ((x @ grouped > 0).reshape(len(x), groups, bits) * powers).sum(2)
-            key |= np.arange(groups, dtype=np.int64)[None, :] << 40
-            key |= ((vid >> 48) << 48)[:, None]
-            sig = pack(x @ counted > 0).reshape(len(x), 2)
-            keys = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * groups), pa.array(key.ravel()))
-            yield pa.RecordBatch.from_arrays([pa.array(vid), pa.array(sig[:, 0].copy()), pa.array(sig[:, 1].copy()), keys], ["node", "s1", "s2", "keys"])
+            rows, every = usable(b.column(1), dim)
+            vids = b.column(0).to_numpy()[rows]
+            for tb in np.unique(vids >> 48):
+                here = np.flatnonzero(vids >> 48 == tb)
+                vid, x = vids[here], every[here]
+                bits, groups = plans[int(tb)]
+                powers = (1 << np.arange(bits, dtype=np.int64))[None, None, :]
+                key = ((x @ grouped[bits, groups] > 0).reshape(len(x), groups, bits) * powers).sum(2)
+                key |= np.arange(groups, dtype=np.int64)[None, :] << 34
+                key |= tb << 48
+                sig = pack(x @ counted > 0).reshape(len(x), 2)
+                keys = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * groups), pa.array(key.ravel()))
+                yield pa.RecordBatch.from_arrays([pa.array(vid), pa.array(sig[:, 0].copy()), pa.array(sig[:, 1].copy()), keys], ["node", "s1", "s2", "keys"])
 
     out = base.select("vid", "embedding").mapInArrow(cells, "node long, s1 long, s2 long, keys array<long>")
     return out.select(F.explode("keys").alias("key"), "node", "s1", "s2")
 
 
-def similar_pairs(vectors: DataFrame, least: float = 0.90, dim: int = DIM, groups: int = GROUPS, hot: int = HOT, seed: int = SEED) -> DataFrame:
+def similar_pairs(vectors: DataFrame, least: float = 0.90, dim: int = DIM, recall: float = RECALL, hot: int = HOT, seed: int = SEED) -> DataFrame:
     """vec_table, id_a, id_b (id_a < id_b), cosine: all pairs of ids of one table with that cosine or more."""
     base, names = _base(vectors)
     spark = vectors.sparkSession
@@ -113,12 +131,11 @@ def similar_pairs(vectors: DataFrame, least: float = 0.90, dim: int = DIM, group
     sized_members = sized(members)
     reps = base.join(sized_members.select("vid"), "vid", "left_anti")
 
-    largest = max([r[1] for r in h.groupBy("tb").count().collect()] or [1])  # one row per table
-    bits = max(LEAST_BITS, math.ceil(math.log2(largest / CELL)))
+    plans = {r[0]: plan_for(r[1], least, recall) for r in h.groupBy("tb").count().collect()}  # one row per table
     # the share of directions on which a pair at the least cosine collides, less four deviations
     p = 1 - math.acos(least) / math.pi
     most = COUNTED - math.floor(COUNTED * p - 4 * math.sqrt(COUNTED * p * (1 - p)))
-    rows = _cells(reps, dim, bits, groups, seed)
+    rows = _cells(reps, dim, plans, seed)
     near = near_pairs(rows, most, hot).select(F.col("a").alias("vid"), F.col("b").alias("vid_b"))
 
     vec = base.select("vid", "id", "embedding")

@@ -1,4 +1,5 @@
 import itertools
+import math
 import random
 import re
 
@@ -114,6 +115,26 @@ def test_similar_pairs_against_brute_force(spark, hot):
     assert got <= want and len(got) >= 0.99 * len(want) > 20
 
 
+def test_recall_does_not_fall_with_size(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "CELL", 1000 / 2**18)  # groups as long as those of two billion vectors
+    rnd = np.random.default_rng(4)
+    a, b = rnd.standard_normal((2, 500, 64))
+    a /= np.linalg.norm(a, axis=1)[:, None]
+    b -= (a * b).sum(1)[:, None] * a
+    b = 0.902 * a + math.sqrt(1 - 0.902**2) * b / np.linalg.norm(b, axis=1)[:, None]
+    rows = [("image", "m.1", 2 * i + j, f"{i}-{j}", x[i].tolist()) for i in range(500) for j, x in enumerate((a, b))]
+    got = {(r.id_a, r.id_b) for r in neighbours.similar_pairs(spark.createDataFrame(rows, "space string, model string, rowid long, id string, embedding array<float>")).collect()}
+    assert len(got & {(f"{i}-0", f"{i}-1") for i in range(500)}) >= 485
+
+
+def test_groups_of_directions():
+    p = 1 - math.acos(0.9) / math.pi
+    for bits in range(12, 35):
+        n = neighbours.groups_for(bits, 0.9)
+        assert 1 - (1 - p**bits) ** n >= neighbours.RECALL > 1 - (1 - p**bits) ** (n - 1) and n < 1 << 14
+    assert neighbours.plan_for(300_000, 0.9) == (12, 32) and neighbours.plan_for(10**9, 0.9)[0] == 17
+
+
 def test_top_k_recall(spark):
     rows = planted(1500)
     got = neighbours.top_k(spark.createDataFrame(rows, VEC), k=5, every=10, block=20).collect()
