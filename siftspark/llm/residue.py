@@ -122,9 +122,11 @@ def fit(records: list[list[str]], rounds: int = ROUNDS) -> Model:
 
 
 def sample(items: DataFrame, web: pages.Web, size: int = SAMPLE) -> list[list[str]]:
-    """Passages of at most `size` records, by the smallest hashes of their ids over all rows."""
+    """Passages of at most `size` records, by the smallest hashes of their ids over all rows, each id once."""
     rows = items.where(F.col("kind").isin("link", "pdf") & F.col("body").isNotNull()).select("kind", "url", "body", F.xxhash64("id").alias("h"))
-    got = rows.orderBy("h").limit(size).select("kind", "url", F.substring("body", 1, 6000).alias("body")).collect()
+    last = rows.select("h").distinct().orderBy("h").limit(size).agg(F.max("h")).first()[0]
+    one = rows.where(F.col("h") <= F.lit(last).cast("long")).groupBy("h").agg(F.min(F.struct("kind", "url", "body")).alias("r"))
+    got = one.select("r.kind", "r.url", F.substring("r.body", 1, 6000).alias("body")).orderBy("h").collect()
     return [passages(r.body, r.kind, pages.host_of(r.url), web, set()) for r in got]
 
 

@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from siftspark.llm import pages, perceptron, residue, scans
 
@@ -205,3 +206,11 @@ def test_messages_do_not_vote(spark):
     rows += [(f"e{k}", "link", f"https://www.{rows[0][2].split('/')[2][4:]}/e{k}", "t", page(f"Site{'abcdefgh'[k]} Review", rnd, [message, f"Request id {rnd.choice(NOUNS)}"])[0], None, None) for k in range(8)]
     got = {r.id for r in residue.residues(spark.createDataFrame(rows, ITEM)).collect()}
     assert got == errors | {f"e{k}" for k in range(8)}
+
+
+def test_sample_takes_an_id_once(spark):
+    ids = [r[0] for r in spark.range(40).selectExpr("cast(id as string) id").orderBy(F.xxhash64("id")).collect()]
+    rows = [(i, "pdf", None, None, f"text {i}", None, None) for i in ids] + [(ids[0], "pdf", None, None, f"text {ids[0]}", None, None)] * 30
+    got = residue.sample(spark.createDataFrame(rows, ITEM), pages.Web(), 20)
+    assert sorted(got) == sorted([f"text {i}"] for i in ids[:20])
+    assert residue.sample(spark.createDataFrame([], ITEM), pages.Web(), 20) == []
