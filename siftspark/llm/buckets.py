@@ -1,12 +1,14 @@
-"""Pairs that share a bucket and whose sketches are close.
+"""Pairs that stand in one bucket and are close.
 
-Both similarity joins end in this kernel: rows of (key, node, s1, s2), where s1 and s2 are 128 bits of a
-sketch. Only pairs under the bit distance leave the join; buckets with more than `hot` rows are split over salts.
+Both similarity joins end in this kernel: rows of (key, node, ...), sorted within their bucket, are compared along
+the sorted run by a function of Arrow columns, and only close pairs leave it. A bucket of more than `hot` rows is
+cut into blocks and every pair of blocks becomes a bucket of its own, so that no task compares more than `hot`
+rows with each other, however large a bucket is.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -15,9 +17,13 @@ from pyspark.sql import functions as F
 
 from siftspark.session import checkpoint
 
-HOT = 65_536
-SALTS = 32
+HOT = 16_384
 SMALL = 1_000_000  # rows up to which a side is broadcast
+OUT = 100_000  # pairs of one output batch
+
+# Given the rows of whole buckets: a function of row numbers and a distance d, telling of each row i of them
+# whether i and i + d are close.
+Close = Callable[[pa.Table], Callable[[np.ndarray, int], np.ndarray]]
 
 
 def sized(df: DataFrame) -> DataFrame:
@@ -25,64 +31,82 @@ def sized(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= SMALL else df
 
 
-def _near(a: DataFrame, b: DataFrame, on: list[str], most: int) -> DataFrame:
-    b = b.select(*on, F.col("node").alias("node_b"), F.col("s1").alias("t1"), F.col("s2").alias("t2"))
-    apart = F.bit_count(F.col("s1").bitwiseXOR(F.col("t1"))) + F.bit_count(F.col("s2").bitwiseXOR(F.col("t2")))
-    return a.join(b, on).where((F.col("node") < F.col("node_b")) & (apart <= most)).select(F.col("node").alias("a"), F.col("node_b").alias("b"))
+def sketches_within(most: int) -> Close:
+    """Sketches s1, s2 (128 bits) that differ in at most `most` bits."""
+
+    def rows(t: pa.Table) -> Callable[[np.ndarray, int], np.ndarray]:
+        # a signed number's bits are counted of its absolute value
+        s1, s2 = (t.column(c).to_numpy().view(np.uint64) for c in ("s1", "s2"))
+        return lambda at, d: np.bitwise_count(s1[at] ^ s1[at + d]).astype(np.int16) + np.bitwise_count(s2[at] ^ s2[at + d]) <= most
+
+    return rows
 
 
-def close_in_runs(key: np.ndarray, s1: np.ndarray, s2: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Row numbers of pairs with equal keys (rows sorted by key) and sketches at most `most` bits apart."""
-    left, right, at, d = [], [], np.arange(len(key)), 1
-    s1, s2 = s1.view(np.uint64), s2.view(np.uint64)  # a signed number's bits are counted of its absolute value
+def runs(key: np.ndarray, close: Callable[[np.ndarray, int], np.ndarray], value: np.ndarray | None = None, width: float = np.inf) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row numbers of close pairs of one key, by distance along the sorted rows; with a value, rows are sorted by
+    it within their key and a row's window ends where the value has grown by more than `width`."""
+    at, d = np.arange(len(key)), 1
     while len(at := at[at < len(key) - d]):
-        at = at[key[at] == key[at + d]]
-        apart = np.bitwise_count(s1[at] ^ s1[at + d]).astype(np.int16) + np.bitwise_count(s2[at] ^ s2[at + d])
-        hit = at[apart <= most]
+        go = key[at] == key[at + d]
+        if value is not None:
+            go &= value[at + d] - value[at] <= width
+        at = at[go]
+        hit = at[close(at, d)]
         if len(hit):
-            left.append(hit)
-            right.append(hit + d)
+            yield hit, hit + d
         d += 1
-    none = np.empty(0, np.int64)
-    return (np.concatenate(left), np.concatenate(right)) if left else (none, none)
 
 
-def _near_sorted(rows: DataFrame, most: int) -> DataFrame:
+def _paired(rows: DataFrame, close: Close, window: tuple[str, float] | None) -> DataFrame:
     """Pairs of buckets of bounded size, in one shuffle: a sorted partition is read as a stream of runs."""
     node = rows.schema["node"].dataType.simpleString()
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = None
+        rest: list[pa.RecordBatch] = []  # all of one key, of which there may be more
         for b in batches:
-            t = pa.Table.from_batches([b]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([b])])
-            key = t.column("key").to_numpy()
-            cut = int(np.searchsorted(key, key[-1], "left"))  # the last run may go on
-            rest = t.slice(cut)
+            if not b.num_rows:
+                continue
+            key = b.column(0).to_numpy()
+            if rest and key[0] != rest[0].column(0)[0].as_py():
+                yield from pairs(pa.Table.from_batches(rest))
+                rest = []
+            cut = int(np.searchsorted(key, key[-1], "left"))
             if cut:
-                yield from pairs(t.slice(0, cut))
-        if rest is not None:
-            yield from pairs(rest)
+                yield from pairs(pa.Table.from_batches([*rest, b.slice(0, cut)]))
+                rest = []
+            rest.append(b.slice(cut))
+        if rest:
+            yield from pairs(pa.Table.from_batches(rest))
 
     def pairs(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        i, j = close_in_runs(*(t.column(c).to_numpy() for c in ("key", "s1", "s2")), most)
-        for k in range(0, len(i), 100_000):
-            both = [t.column("node").take(pa.array(x[k : k + 100_000])).combine_chunks() for x in (i, j)]
-            yield pa.RecordBatch.from_arrays(both, ["a", "b"])
-
-    placed = rows.select("key", "node", "s1", "s2").repartition("key").sortWithinPartitions("key")
+        value, width = (t.column(window[0]).to_numpy(), window[1]) if window else (None, np.inf)
+        for i, j in runs(t.column("key").to_numpy(), close(t), value, width):
+            for k in range(0, len(i), OUT):
+                both = [t.column("node").take(pa.array(x[k : k + OUT])).combine_chunks() for x in (i, j)]
+                yield pa.RecordBatch.from_arrays(both, ["a", "b"])
+
+    order = ["key", window[0]] if window else ["key"]
+    placed = rows.repartition("key").sortWithinPartitions(*order)
     found = placed.mapInArrow(scan, f"a {node}, b {node}").where("a <> b")
     return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
-def near_pairs(rows: DataFrame, most: int, hot: int = HOT, salts: int = SALTS) -> DataFrame:
-    """a, b (a < b): distinct nodes of one bucket whose sketches differ in at most `most` bits."""
-    crowded = checkpoint(rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("key"))
+def _blocked(rows: DataFrame, crowded: DataFrame, hot: int) -> DataFrame:
+    """Rows of crowded buckets, once for every pair of blocks their own block is in, under the key of that pair."""
+    blocks = F.ceil(2 * F.col("n") / hot).cast("int")
+    own = F.pmod(F.xxhash64("node", F.lit(hot)), F.col("blocks")).cast("int")
+    rows = rows.join(crowded.select("key", blocks.alias("blocks")), "key").withColumn("own", own)
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return rows.withColumn("key", F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))).drop("blocks", "own", "other")
+
+
+def near_pairs(rows: DataFrame, close: Close, window: tuple[str, float] | None = None, hot: int = HOT) -> DataFrame:
+    """a, b (a < b): distinct nodes of one bucket that are close; window: a column rows are sorted by and how much
+    of it a row looks ahead. rows are read twice (sizes of buckets, then pairs) and should be cheap to read."""
+    crowded = checkpoint(rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > hot))
     if crowded.isEmpty():
-        near = _near_sorted(rows, most)
+        near = _paired(rows, close, window)
     else:
         big = sized(crowded)
-        calm, loud = rows.join(big, "key", "left_anti"), rows.join(big, "key")
-        left = loud.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(salts)).cast("int"))
-        right = loud.withColumn("salt", F.explode(F.array([F.lit(i) for i in range(salts)])))
-        near = _near_sorted(calm, most).unionByName(_near(left, right, ["key", "salt"], most))
+        near = _paired(rows.join(big.select("key"), "key", "left_anti").unionByName(_blocked(rows, big, hot)), close, window)
     return checkpoint(near.distinct())

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftspark.llm.buckets import HOT, near_pairs, sized
+from siftspark.llm.buckets import HOT, near_pairs, sized, sketches_within
 from siftspark.operators.components import components
 from siftspark.session import checkpoint
 
@@ -127,7 +127,7 @@ def _banded(sets: DataFrame, bands: int, rows: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(bits[:, 0].copy()), pa.array(bits[:, 1].copy()), lists], ["node", "s1", "s2", "keys"])
 
     out = sets.select("node", "grams").mapInArrow(band, "node binary, s1 long, s2 long, keys array<long>")
-    return out.select(F.explode("keys").alias("key"), "node", "s1", "s2")
+    return checkpoint(out).select(F.explode("keys").alias("key"), "node", "s1", "s2")  # sketched once, read twice
 
 
 def similar(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, recall: float = RECALL, rows: int = ROWS, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
@@ -137,7 +137,7 @@ def similar(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY,
     classes = checkpoint(sets.dropDuplicates(["node"]).select("node", "grams"))
     p = (1 + similarity) / 2
     most = SLOTS - math.floor(SLOTS * p - 4 * math.sqrt(SLOTS * p * (1 - p)))
-    near = near_pairs(_banded(classes, bands_for(similarity, recall, rows), rows), most, hot)
+    near = near_pairs(_banded(classes, bands_for(similarity, recall, rows), rows), sketches_within(most), hot=hot)
     one = near.join(classes.select(F.col("node").alias("a"), F.col("grams").alias("ga")), "a")
     two = one.join(classes.select(F.col("node").alias("b"), F.col("grams").alias("gb")), "b")
     both = F.size(F.array_intersect("ga", "gb"))

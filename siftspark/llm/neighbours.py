@@ -1,20 +1,23 @@
-"""Most similar vectors, by counting collisions on single random projections.
+"""Most similar vectors, by counting collisions in query-centred windows of sorted projections.
 
-Every vector is projected on fixed random directions. Two vectors collide on a direction when they fall in the
-same window of its sorted projections; windows are kept as bits, one cell boundary per direction, so that a
-collision count is a population count. Vectors whose count exceeds a threshold are verified exactly.
+Every vector is projected on fixed random directions; a direction's projections, sorted, are its array. Two
+vectors collide on a direction where they stand in each other's window of its array.
 
-similar_pairs (all vectors against all): a single direction's window holds a constant share of all vectors, so
-candidates must collide on a whole group of directions in one of several groups; the collision count on COUNTED
-further directions then decides what is verified. The group length of a table follows its size so that a cell
-keeps at most CELL vectors on average, and the number of groups follows from that length so that a pair at the
-least cosine meets in one with probability RECALL. Cells with more than HOT rows are split over salts.
+similar_pairs (all vectors against all) looks at a vector only from directions on which it is extreme: there the
+array is thin, so that a window of the width that a pair at the least cosine needs holds few others, while a
+similar vector is extreme there too. Only these tails are kept, as sorted runs, and each vector's window is
+expanded along its run. What stands in a window is counted on COUNTED further single projections, each with its
+own query-centred window (a code of 8 bits a projection); pairs whose count reaches the threshold are verified
+exactly. The number of directions grows with the table so that runs stay short; how many tails a vector needs
+for a pair at the least cosine to be found with probability RECALL is measured for these directions on random
+pairs of that cosine before the table is read, so that recall does not depend on the table's size.
 
-top_k (a stated query set against all rows): all vectors are indexed and counted against blocks of queries; the
-window of a query widens (the threshold falls) until WIDEN * k candidates are there.
+top_k (a stated query set against all rows): projections are kept as signs, and the window of a query widens, as by
+virtual rehashing, until enough rows collide with it often enough; those are verified exactly.
 
 Defined cases: a vector is usable if it is not null, has `dim` numbers, none null or not finite, and is not all
-zero; others are left out. Vectors are scaled to length 1; score is minus the L2 distance. Exact copies are
+zero; others are left out. Vectors are scaled to length 1; score is minus the L2 distance. Row numbers are any
+64-bit numbers; rows without one, or without id, space or model, are left out. Exact copies are
 collapsed first and expanded at the end. An id with several vectors counts with its best one and is never its own
 neighbour. Tables (space, model) never mix. Empty input gives no rows; extra columns are ignored.
 """
@@ -22,49 +25,54 @@ neighbour. Tables (space, model) never mix. Empty input gives no rows; extra col
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from siftspark.functions.vectors import table_name
 from siftspark.llm.buckets import HOT, near_pairs, sized
+from siftspark.operators.components import components
 from siftspark.session import checkpoint
 
 DIM = 64
-RECALL = 0.995  # of a pair at the least cosine; 32 groups of 12 directions at 0.90
-LEAST_BITS = 12
-CELL = 8192
-COUNTED = 128
+RECALL = 0.995  # of a pair at the least cosine
+LOSS = 0.0005  # of such pairs, by the collision threshold
+COUNTED = 32
+NEAR = 2.24  # half a counted window, in deviations of a pair at the least cosine
+REACH = 3.5  # of a tail's window, likewise
+PLAIN = 16_384  # directions up to which they are drawn one by one; more are sums of two drawn ones
+WORK = 120  # directions are the square root of so many times the rows: projecting and comparing then cost alike
+TRIALS = 4000
+MOST_TAILS = 256
 SEED = 911
+ROWS = 256  # vectors projected at once
 QUERY_BLOCK = 16_384
 KNN_BITS = 256
 WIDEN = 16  # candidates a query has at least, as a multiple of k
+PASS_SHARE = 0.01  # of unlike rows, that the first window of a query lets through
 DATA_BLOCK = 65_536
 
 
-def vec_table(space="space", model="model"):
-    return F.concat(F.lit("vec_"), F.col(space), F.lit("__"), F.regexp_replace(model, "[^0-9a-zA-Z_]", "_"))
-
-
 def directions(dim: int, n: int, seed: int) -> np.ndarray:
     return np.random.default_rng(seed).standard_normal((dim, n)).astype(np.float32)
 
 
-def usable(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row numbers, unit vectors) of the usable vectors of an Arrow list column."""
-    lens = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-    rows = np.flatnonzero(lens == dim)
-    if not len(rows):
-        return rows, np.empty((0, dim), np.float32)
-    flat = column.take(pa.array(rows)).flatten()
-    x = flat.cast(pa.float32()).to_numpy(zero_copy_only=False).reshape(-1, dim)  # null numbers become NaN
-    with np.errstate(over="ignore", invalid="ignore"):
-        norm = np.sqrt((x.astype(np.float64) ** 2).sum(1))
-    ok = np.isfinite(norm) & (norm > 0)
-    return rows[ok], (x[ok] / norm[ok, None]).astype(np.float32)
+def usable(v: Column, dim: int) -> Column:
+    bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf"))))
+    return v.isNotNull() & (F.size(v) == dim) & ~bad & F.exists(v, lambda x: x != 0)
+
+
+def units(column: pa.Array, dim: int) -> np.ndarray:
+    """Unit vectors of an Arrow column of usable vectors."""
+    x = column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+    return (x / np.sqrt((x.astype(np.float64) ** 2).sum(1))[:, None]).astype(np.float32)
 
 
 def pack(bits: np.ndarray) -> np.ndarray:
@@ -72,113 +80,213 @@ def pack(bits: np.ndarray) -> np.ndarray:
     return np.packbits(bits, axis=1).view(np.int64)
 
 
-def _base(vectors: DataFrame) -> tuple[DataFrame, list[str]]:
-    """vid, id, embedding: vid numbers the table in the high bits; the tables are the few (space, model) pairs."""
-    v = vectors.select(vec_table().alias("vt"), F.col("rowid").cast("long").alias("rowid"), F.col("id").cast("string"), F.col("embedding").cast("array<float>"))
-    v = v.dropna(subset=["vt", "rowid", "id", "embedding"])
-    names = sorted(r.vt for r in v.select("vt").distinct().collect())
+def _base(vectors: DataFrame, dim: int) -> tuple[DataFrame, list[str]]:
+    """node (tb, rowid), id, embedding of usable rows; tb numbers the tables, which are the few (space, model) pairs."""
+    v = vectors.select(table_name(F.col("space"), F.col("model")).alias("vt"), F.col("rowid").cast("long").alias("rowid"), F.col("id").cast("string").alias("id"), F.col("embedding").cast("array<float>").alias("embedding"))
+    v = v.dropna(subset=["vt", "rowid", "id"]).where(usable(F.col("embedding"), dim))
+    names = sorted(r.vt for r in vectors.select(table_name(F.col("space"), F.col("model")).alias("vt")).distinct().dropna().collect())
     number = F.lit(0)
     for i, n in enumerate(names):
         number = F.when(F.col("vt") == n, i).otherwise(number)
-    return v.select((F.shiftleft(number.cast("long"), 48) + F.col("rowid")).alias("vid"), "id", "embedding"), names
-
-
-def groups_for(bits: int, least: float, recall: float = RECALL) -> int:
-    """Groups of that many directions at which a pair at the least cosine collides on one with that probability."""
-    together = (1 - math.acos(least) / math.pi) ** bits
-    return 1 if together >= 1 else math.ceil(math.log(1 - recall) / math.log1p(-together))
-
-
-def plan_for(rows: int, least: float, recall: float = RECALL) -> tuple[int, int]:
-    """(directions in a group, groups) for a table of that many rows."""
-    bits = max(LEAST_BITS, math.ceil(math.log2(max(rows, 1) / CELL)))
-    return bits, groups_for(bits, least, recall)
-
-
-def _cells(base: DataFrame, dim: int, plans: dict[int, tuple[int, int]], seed: int) -> DataFrame:
-    """key, node (vid), s1, s2: one row per vector and group; plans holds bits and groups by table number."""
-
-    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return v.select(F.struct(number.cast("int").alias("tb"), "rowid").alias("node"), "id", "embedding"), names
+
+
+def _label(names: list[str], tb: Column) -> Column:
+    return F.element_at(F.array([F.lit(n) for n in names] or [F.lit("")]), tb + 1)
+
+
+class Directions:
+    """Random directions and, for vectors, those on which they are most extreme.
+
+    Up to PLAIN directions are drawn one by one. More are the sums of two drawn ones, with either sign, whose most
+    extreme ones are found from the most extreme summands.
+    """
+
+    def __init__(self, dim: int, n: int, seed: int):
+        self.n, self.sums = n, n > PLAIN
+        size = math.isqrt(n // 2) if self.sums else n
+        self.one = directions(dim, size, seed)
+        self.two = directions(dim, size, seed + 7) if self.sums else None
+
+    @staticmethod
+    def _extreme(p: np.ndarray, tails: int) -> tuple[np.ndarray, np.ndarray]:
+        size = np.abs(p)
+        at = np.argpartition(size, -tails, axis=1)[:, -tails:] if tails < p.shape[1] else np.tile(np.arange(p.shape[1]), (len(p), 1))
+        return at * 2 + (np.take_along_axis(p, at, 1) < 0), np.take_along_axis(size, at, 1)
+
+    def tails(self, x: np.ndarray, tails: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ends of directions, projections on them), the most extreme ones first."""
+        ends, value = self._extreme(x @ self.one, tails)
+        if self.sums:
+            other, more = self._extreme(x @ self.two, tails)
+            both = (value[:, :, None] + more[:, None, :]).reshape(len(x), -1) / math.sqrt(2)
+            k = np.argpartition(both, -tails, axis=1)[:, -tails:]
+            ends = np.take_along_axis(ends, k // other.shape[1], 1) * (2 * self.two.shape[1]) + np.take_along_axis(other, k % other.shape[1], 1)
+            value = np.take_along_axis(both, k, 1)
+        order = np.argsort(-value, axis=1, kind="stable")
+        return np.take_along_axis(ends, order, 1), np.take_along_axis(value, order, 1)
+
+
+def directions_for(rows: int) -> int:
+    return 1 << max(8, round(math.log2(math.sqrt(WORK * max(rows, 1)))))
+
+
+@lru_cache(maxsize=64)
+def tails_for(dim: int, n: int, least: float, recall: float = RECALL, seed: int = SEED) -> int:
+    """How many of its most extreme directions a vector is found by, so that a pair at the least cosine meets in a
+    window with that probability; measured on TRIALS random pairs, with two deviations of that measure added."""
+    g = np.random.default_rng(seed + 3)
+    x, z = (v / np.linalg.norm(v, axis=1, keepdims=True) for v in g.standard_normal((2, TRIALS, dim)))
+    z -= (z * x).sum(1, keepdims=True) * x
+    y = least * x + math.sqrt(max(0.0, 1 - least * least)) * z / np.linalg.norm(z, axis=1, keepdims=True)
+    d, width = Directions(dim, n, seed), REACH * math.sqrt(max(0.0, 2 - 2 * least))
+    wanted = min(1.0, recall + 2 * math.sqrt(recall * (1 - recall) / TRIALS))
+    most = 16
+    while most <= min(MOST_TAILS, n):
+        need = np.full(TRIALS, most + 1)
+        for i in range(0, TRIALS, 100):
+            (ex, vx), (ey, vy) = (d.tails(v[i : i + 100].astype(np.float32), most) for v in (x, y))
+            met = (ex[:, :, None] == ey[:, None, :]) & (np.abs(vx[:, :, None] - vy[:, None, :]) <= width)
+            rank = np.maximum(np.arange(most)[:, None], np.arange(most)[None, :])[None]
+            need[i : i + 100] = np.where(met, rank + 1, most + 1).min((1, 2))
+        tails = int(np.sort(need)[min(TRIALS - 1, math.ceil(wanted * TRIALS) - 1)])
+        if tails <= most:
+            return tails
+        most *= 2
+    raise ValueError(f"not even the {most // 2} most extreme of {n} directions give a recall of {recall} at a cosine of {least}")
+
+
+def threshold(least: float, loss: float = LOSS) -> tuple[int, int]:
+    """(half a counted window in steps of the code, collisions of COUNTED that all but `loss` of the pairs reach)."""
+    half = NEAR * math.sqrt(max(0.0, 2 - 2 * least))
+    p = math.erf(NEAR / math.sqrt(2))
+    below, count = 0.0, 0
+    while count < COUNTED:
+        below += math.comb(COUNTED, count) * p**count * (1 - p) ** (COUNTED - count)
+        if below > loss:
+            break
+        count += 1
+    return min(127, math.ceil(half * STEP) + 1), count
+
+
+STEP = 255 / 8  # codes cover projections from -4 to 4
+
+
+def _tails(base: DataFrame, dim: int, plans: dict[int, tuple[int, int]], seed: int) -> DataFrame:
+    """node, c1 to c4 (codes of the counted projections), tails (key, value): one row a vector; plans holds
+    directions and tails by table number."""
+
+    def tails(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counted = directions(dim, COUNTED, seed + 1)
-        grouped = {plan: directions(dim, plan[0] * plan[1], seed) for plan in set(plans.values())}
+        made = {p[0]: Directions(dim, p[0], seed) for p in set(plans.values())}
         for b in batches:
-            rows, every = usable(b.column(1), dim)
-            vids = b.column(0).to_numpy()[rows]
-            for tb in np.unique(vids >> 48):
-                here = np.flatnonzero(vids >> 48 == tb)
-                vid, x = vids[here], every[here]
-                bits, groups = plans[int(tb)]
-                powers = (1 << np.arange(bits, dtype=np.int64))[None, None, :]
-                key = ((x @ grouped[bits, groups] > 0).reshape(len(x), groups, bits) * powers).sum(2)
-                key |= np.arange(groups, dtype=np.int64)[None, :] << 34
-                key |= tb << 48
-                sig = pack(x @ counted > 0).reshape(len(x), 2)
-                keys = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * groups), pa.array(key.ravel()))
-                yield pa.RecordBatch.from_arrays([pa.array(vid), pa.array(sig[:, 0].copy()), pa.array(sig[:, 1].copy()), keys], ["node", "s1", "s2", "keys"])
-
-    out = base.select("vid", "embedding").mapInArrow(cells, "node long, s1 long, s2 long, keys array<long>")
-    return out.select(F.explode("keys").alias("key"), "node", "s1", "s2")
-
-
-def similar_pairs(vectors: DataFrame, least: float = 0.90, dim: int = DIM, recall: float = RECALL, hot: int = HOT, seed: int = SEED) -> DataFrame:
-    """vec_table, id_a, id_b (id_a < id_b), cosine: all pairs of ids of one table with that cosine or more."""
-    base, names = _base(vectors)
-    spark = vectors.sparkSession
-    h = base.select("vid", F.shiftright("vid", 48).alias("tb"), F.xxhash64("embedding").alias("h1"), F.xxhash64(F.lit(1), "embedding").alias("h2"))
-    group = h.groupBy("tb", "h1", "h2").agg(F.min("vid").alias("rep"), F.count("*").alias("n"))
-    group = checkpoint(group.where("n > 1").drop("n"))
-    members = checkpoint(h.join(sized(group), ["tb", "h1", "h2"]).where("vid <> rep").select("vid", "rep"))
-    sized_members = sized(members)
-    reps = base.join(sized_members.select("vid"), "vid", "left_anti")
-
-    plans = {r[0]: plan_for(r[1], least, recall) for r in h.groupBy("tb").count().collect()}  # one row per table
-    # the share of directions on which a pair at the least cosine collides, less four deviations
-    p = 1 - math.acos(least) / math.pi
-    most = COUNTED - math.floor(COUNTED * p - 4 * math.sqrt(COUNTED * p * (1 - p)))
-    rows = _cells(reps, dim, plans, seed)
-    near = near_pairs(rows, most, hot).select(F.col("a").alias("vid"), F.col("b").alias("vid_b"))
-
-    vec = base.select("vid", "id", "embedding")
-    ends = near.join(vec, "vid").select(F.col("vid").alias("vid_a"), F.col("id").alias("a"), F.col("embedding").alias("va"), F.col("vid_b").alias("vid"))
-    ends = ends.join(vec, "vid").select("vid_a", "a", "va", F.col("vid").alias("vid_b"), F.col("id").alias("b"), F.col("embedding").alias("vb"))
+            table = b.column(0).to_numpy()
+            for tb in np.unique(table):
+                here = np.flatnonzero(table == tb)
+                mine = b.take(pa.array(here))
+                n, t = plans[int(tb)]
+                x = units(mine.column(2), dim)
+                code = np.clip(np.rint((x @ counted + 4) * STEP), 0, 255).astype(np.uint8).view(np.int64)
+                ends, value = (np.concatenate(c) for c in zip(*(made[n].tails(x[k : k + ROWS], t) for k in range(0, len(x), ROWS))))
+                pairs = pa.StructArray.from_arrays([pa.array((ends | (np.int64(tb) << 44)).ravel()), pa.array(value.ravel())], ["key", "value"])
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * ends.shape[1]), pairs)
+                codes = [pa.array(code[:, i].copy()) for i in range(4)]
+                yield pa.RecordBatch.from_arrays([mine.column(0), mine.column(1), *codes, lists], ["tb", "rowid", "c1", "c2", "c3", "c4", "tails"])
+
+    out = base.select("node.tb", "node.rowid", "embedding").mapInArrow(tails, "tb int, rowid long, c1 long, c2 long, c3 long, c4 long, tails array<struct<key:long,value:float>>")
+    return out.select(F.struct("tb", "rowid").alias("node"), "c1", "c2", "c3", "c4", "tails")
+
+
+def colliding(half: int, count: int) -> Callable[[pa.Table], Callable[[np.ndarray, int], np.ndarray]]:
+    """Pairs whose codes stand in each other's window on at least `count` of the counted projections."""
+
+    def rows(t: pa.Table) -> Callable[[np.ndarray, int], np.ndarray]:
+        code = np.stack([t.column(c).to_numpy() for c in ("c1", "c2", "c3", "c4")], axis=1).view(np.uint8)
+
+        def close(at: np.ndarray, d: int) -> np.ndarray:
+            apart = code[at] - code[at + d]  # modulo 256, as is the window; codes of a window's far ends never meet
+            apart += np.uint8(half)
+            inside = (apart <= np.uint8(2 * half)).view(np.uint64).sum(1)  # eight sums of up to four ones
+            return (inside * np.uint64(0x0101010101010101)) >> np.uint64(56) >= count
+
+        return close
+
+    return rows
+
+
+def _classes(base: DataFrame) -> DataFrame:
+    """node, rep: rows whose vector stands in the table more than once, with the class's smallest node."""
+    h = base.select("node", F.xxhash64("embedding").alias("h1"), F.xxhash64(F.lit(1), "embedding").alias("h2"))
+    group = h.groupBy("node.tb", "h1", "h2").agg(F.min("node").alias("rep"), F.count("*").alias("n")).where("n > 1")
+    group = sized(checkpoint(group.select("rep", "h1", "h2", F.col("tb"))))
+    return checkpoint(h.withColumn("tb", F.col("node.tb")).join(group, ["tb", "h1", "h2"]).select("node", "rep"))
+
+
+def linked(vectors: DataFrame, least: float, dim: int, recall: float, hot: int, seed: int) -> tuple[DataFrame, list[str], DataFrame, DataFrame]:
+    """(base; names of tables; classes of exact copies: node, rep; pairs of representatives: a, b, cosine, x, y),
+    x and y being the ids of a and b."""
+    base, names = _base(vectors, dim)
+    classes = _classes(base)
+    reps = base.join(sized(checkpoint(classes.where("node <> rep").select("node").distinct())), "node", "left_anti")
+    plans = {}
+    for tb, n in base.groupBy("node.tb").count().collect():  # one row a table
+        d = directions_for(n)
+        plans[tb] = (d, tails_for(dim, d, least, recall, seed))
+    kept = checkpoint(_tails(reps, dim, plans, seed))
+    rows = kept.select("node", "c1", "c2", "c3", "c4", F.explode("tails").alias("t")).select("t.key", "t.value", "node", "c1", "c2", "c3", "c4")
+    near = near_pairs(rows, colliding(*threshold(least)), ("value", REACH * math.sqrt(max(0.0, 2 - 2 * least))), hot)
+
+    ids = near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).distinct()
+    vec = base.join(sized(checkpoint(ids)), "node", "left_semi")  # the vectors of candidates are the only ones to move
+    ends = near.join(vec.select(F.col("node").alias("a"), F.col("id").alias("x"), F.col("embedding").alias("vx")), "a")
+    ends = ends.join(vec.select(F.col("node").alias("b"), F.col("id").alias("y"), F.col("embedding").alias("vy")), "b").select("a", "x", "b", "y", "vx", "vy")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batches:
-            rows_a, x = usable(t.column(2), dim)
-            rows_b, y = usable(t.column(5), dim)
-            if len(rows_a) != t.num_rows or len(rows_b) != t.num_rows:
-                raise ValueError("a candidate has no usable vector")
-            cos = np.einsum("ij,ij->i", x.astype(np.float64), y.astype(np.float64))
-            keep = np.flatnonzero(cos >= least)
-            cols = [t.column(i).take(pa.array(keep)) for i in (0, 1, 3, 4)]
-            yield pa.RecordBatch.from_arrays([*cols, pa.array(cos[keep])], ["vid_a", "a", "vid_b", "b", "cosine"])
-
-    pairs = checkpoint(ends.mapInArrow(verify, "vid_a long, a string, vid_b long, b string, cosine double"))
-    # copies take part in the pairs of their representative and in pairs of their own class
-    alias = checkpoint(base.select("vid", "id").join(sized_members, "vid").select(F.col("rep"), F.col("id").alias("other")).distinct())
-    more = pairs.join(alias, pairs.vid_a == alias.rep).select("vid_a", F.col("other").alias("a"), "vid_b", "b", "cosine")
-    pairs = pairs.unionByName(more)
-    more = pairs.join(alias, pairs.vid_b == alias.rep).select("vid_a", "a", "vid_b", F.col("other").alias("b"), "cosine")
-    pairs = pairs.unionByName(more)
-    heads = base.select("vid", "id").join(sized(checkpoint(members.select(F.col("rep").alias("vid")).distinct())), "vid").select(F.col("vid").alias("rep"), F.col("id").alias("other"))
-    heads = heads.join(_usable_reps(base, members, dim), "rep", "left_semi")
-    same = alias.join(heads.select("rep"), "rep", "left_semi").unionByName(heads).distinct()
-    twin = same.alias("x").join(same.alias("y"), "rep").where("x.other < y.other").select(F.col("rep").alias("vid_a"), F.col("x.other").alias("a"), F.col("rep").alias("vid_b"), F.col("y.other").alias("b"), F.lit(1.0).alias("cosine"))
-    pairs = pairs.unionByName(twin).where("a <> b")
-    label = F.element_at(F.array([F.lit(n) for n in names] or [F.lit("")]), (F.shiftright("vid_a", 48) + 1).cast("int"))
-    return pairs.groupBy(label.alias("vec_table"), F.least("a", "b").alias("id_a"), F.greatest("a", "b").alias("id_b")).agg(F.max("cosine").alias("cosine"))
-
-
-def _usable_reps(base: DataFrame, members: DataFrame, dim: int) -> DataFrame:
-    """rep: representatives of copies whose vector is usable."""
-
-    def ok(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows, _ = usable(b.column(1), dim)
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows))], ["rep"])
+            x, y = (units(t.column(c), dim).astype(np.float64) for c in (4, 5))
+            cos = np.einsum("ij,ij->i", x, y)
+            keep = pa.array(np.flatnonzero(cos >= least))
+            yield pa.RecordBatch.from_arrays([*(t.column(i).take(keep) for i in range(4)), pa.array(cos).take(keep)], ["a", "x", "b", "y", "cosine"])
+
+    node = "struct<tb:int,rowid:long>"
+    return base, names, classes, checkpoint(ends.mapInArrow(verify, f"a {node}, x string, b {node}, y string, cosine double"))
 
-    heads = checkpoint(members.select(F.col("rep").alias("vid")).distinct())
-    return base.select("vid", "embedding").join(sized(heads), "vid", "left_semi").mapInArrow(ok, "rep long")
+
+def similar_pairs(vectors: DataFrame, least: float = 0.90, dim: int = DIM, recall: float = RECALL, hot: int = HOT, seed: int = SEED) -> DataFrame:
+    """vec_table, id_a, id_b (id_a < id_b), cosine: all pairs of ids of one table with that cosine or more.
+
+    Copies take part in the pairs of their representative and in pairs of their own class, as the result asks
+    for all pairs of ids; similar_groups lists them once.
+    """
+    base, names, classes, pairs = linked(vectors, least, dim, recall, hot, seed)
+    copies = checkpoint(base.select("node", "id").join(sized(classes), "node").select("rep", F.col("id").alias("other")).distinct())
+    more = sized(copies)
+    pairs = pairs.unionByName(pairs.join(more, pairs.a == copies.rep).select("a", F.col("other").alias("x"), "b", "y", "cosine"))
+    pairs = pairs.unionByName(pairs.join(more, pairs.b == copies.rep).select("a", "x", "b", F.col("other").alias("y"), "cosine"))
+    # a large class is split: its left ids over salts, its right ids on every salt
+    salts = copies.groupBy("rep").agg(F.ceil(F.count("*") / hot).cast("int").alias("salts"))
+    left = copies.join(salts, "rep").select("rep", F.col("other").alias("x"), F.pmod(F.xxhash64("other"), F.col("salts")).cast("int").alias("salt"))
+    right = copies.join(salts, "rep").select("rep", F.col("other").alias("y"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    twins = left.join(right, ["rep", "salt"]).where("x < y").select(F.col("rep").alias("a"), "x", F.col("rep").alias("b"), "y", F.lit(1.0).alias("cosine"))
+    pairs = pairs.unionByName(twins).where("x <> y")
+    return pairs.groupBy(_label(names, F.col("a.tb")).alias("vec_table"), F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).agg(F.max("cosine").alias("cosine"))
+
+
+def similar_groups(vectors: DataFrame, least: float = 0.90, dim: int = DIM, recall: float = RECALL, hot: int = HOT, seed: int = SEED) -> DataFrame:
+    """vec_table, id, group_id, links: every id with a usable vector, the smallest id of its group of linked ones
+    (itself if it has none) and the number of other vectors that its vectors are similar to, copies as one."""
+    base, names, classes, pairs = linked(vectors, least, dim, recall, hot, seed)
+    members = base.select("node", "id").join(sized(checkpoint(classes.where("node <> rep"))), "node", "left").select("id", F.coalesce("rep", "node").alias("node")).distinct()
+    both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    links = both.groupBy(F.col("a").alias("node")).agg(F.count("*").alias("links"))
+    # an id with several vectors ties their classes together
+    first = members.groupBy("id", "node.tb").agg(F.min("node").alias("a"), F.count("*").alias("n")).where("n > 1")
+    ties = members.withColumn("tb", F.col("node.tb")).join(first, ["id", "tb"]).where("a <> node").select("a", F.col("node").alias("b"))
+    roots = components(pairs.select("a", "b").unionByName(ties))
+    placed = members.join(roots, "node", "left").join(links, "node", "left").select("id", F.coalesce("root", "node").alias("root"), F.coalesce("links", F.lit(0)).alias("links"))
+    named = placed.groupBy("root").agg(F.min("id").alias("group_id"))
+    out = placed.join(named, "root").groupBy("root.tb", "id").agg(F.min("group_id").alias("group_id"), F.sum("links").alias("links"))
+    return out.select(_label(names, F.col("tb")).alias("vec_table"), "id", "group_id", "links")
 
 
 class Queries:
@@ -186,7 +294,8 @@ class Queries:
 
     def __init__(self, rows: list, dim: int, seed: int):
         x = np.array([r.embedding for r in rows], np.float32).reshape(len(rows), dim)
-        self.vid = np.array([r.vid for r in rows], np.int64)
+        self.table = np.array([r.tb for r in rows], np.int32)
+        self.row = np.array([r.rowid for r in rows], np.int64)
         self.id = pd.util.hash_array(np.array([r.id for r in rows], object)) if rows else np.empty(0, np.uint64)
         self.x = x / np.sqrt((x.astype(np.float64) ** 2).sum(1))[:, None].astype(np.float32)
         self.sig = pack(self.x @ directions(dim, KNN_BITS, seed) > 0).view(np.uint64).reshape(len(rows), KNN_BITS // 64)
@@ -198,31 +307,31 @@ class Best:
     def __init__(self, queries: int, k: int):
         self.k = k
         self.cos = np.full((queries, k), -np.inf)
-        self.vid = np.full((queries, k), -1, np.int64)
+        self.row = np.zeros((queries, k), np.int64)
         self.oid = np.zeros((queries, k), np.uint64)
 
-    def add(self, q: int, cos: np.ndarray, vid: np.ndarray, oid: np.ndarray) -> None:
+    def add(self, q: int, cos: np.ndarray, row: np.ndarray, oid: np.ndarray) -> None:
         new = cos > self.cos[q, -1]
         if not new.any():
             return
-        cos, vid, oid = np.r_[self.cos[q], cos[new]], np.r_[self.vid[q], vid[new]], np.r_[self.oid[q], oid[new]]
-        order = np.lexsort((vid, -cos))
-        real = order[vid[order] >= 0]
+        cos, row, oid = np.r_[self.cos[q], cos[new]], np.r_[self.row[q], row[new]], np.r_[self.oid[q], oid[new]]
+        order = np.lexsort((row, -cos))
+        real = order[np.isfinite(cos[order])]
         first = np.sort(np.unique(oid[real], return_index=True)[1])  # the best of each id
         top = real[first][: self.k]
         n = len(top)
-        self.cos[q, :n], self.vid[q, :n], self.oid[q, :n] = cos[top], vid[top], oid[top]
+        self.cos[q, :n], self.row[q, :n], self.oid[q, :n] = cos[top], row[top], oid[top]
 
 
-def _gathered(batches: Iterator[pa.RecordBatch], dim: int, rows: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(vid, hash of id, unit vectors) of usable rows, in blocks of about that many rows."""
+def _gathered(batches: Iterator[pa.RecordBatch], dim: int, rows: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """(table, row number, hash of id, unit vectors), in blocks of about that many rows."""
     parts, size = [], 0
     for b in batches:
-        at, x = usable(b.column(2), dim)
-        if len(at):
-            oid = pd.util.hash_array(np.array(b.column(1).take(pa.array(at)).to_pylist(), object))
-            parts.append((b.column(0).to_numpy()[at], oid, x))
-            size += len(at)
+        if not b.num_rows:
+            continue
+        oid = pd.util.hash_array(np.array(b.column(2).to_pylist(), object))
+        parts.append((b.column(0).to_numpy(), b.column(1).to_numpy(), oid, units(b.column(3), dim)))
+        size += b.num_rows
         if size >= rows:
             yield tuple(np.concatenate(c) for c in zip(*parts))
             parts, size = [], 0
@@ -230,25 +339,25 @@ def _gathered(batches: Iterator[pa.RecordBatch], dim: int, rows: int) -> Iterato
         yield tuple(np.concatenate(c) for c in zip(*parts))
 
 
-def top_k(vectors: DataFrame, k: int = 10, every: int = 50, dim: int = DIM, block: int = QUERY_BLOCK, seed: int = SEED, pass_share: float = 0.01) -> DataFrame:
+def top_k(vectors: DataFrame, k: int = 10, every: int = 50, dim: int = DIM, block: int = QUERY_BLOCK, seed: int = SEED, pass_share: float = PASS_SHARE) -> DataFrame:
     """vec_table, image_id, other_id, score, place: for every row whose rowid is divisible by `every`, the k most
     similar other ids of its table."""
-    base, names = _base(vectors)
+    base, names = _base(vectors, dim)
     spark = vectors.sparkSession
-    low = int(KNN_BITS / 2 + 2.3263 * math.sqrt(KNN_BITS) / 2) if pass_share == 0.01 else int(KNN_BITS / 2)
+    low = int(KNN_BITS / 2 - NormalDist().inv_cdf(pass_share) * math.sqrt(KNN_BITS) / 2)
 
     def scan_with(shared):
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             qs: Queries = shared.value
             dirs = directions(dim, KNN_BITS, seed)
-            best, q_table = Best(len(qs.vid), k), qs.vid >> 48
-            for vid, oid, x in _gathered(batches, dim, DATA_BLOCK):
+            best = Best(len(qs.row), k)
+            for table, row, oid, x in _gathered(batches, dim, DATA_BLOCK):
                 sig = pack(x @ dirs > 0).view(np.uint64).reshape(len(x), KNN_BITS // 64)
-                for tb in np.unique(vid >> 48):
-                    here = np.flatnonzero(vid >> 48 == tb)
+                for tb in np.unique(table):
+                    here = np.flatnonzero(table == tb)
                     words = [np.ascontiguousarray(sig[here, w]) for w in range(sig.shape[1])]
                     need = min(len(here), WIDEN * k)
-                    for q in np.flatnonzero(q_table == tb):
+                    for q in np.flatnonzero(qs.table == tb):
                         apart = np.bitwise_count(words[0] ^ qs.sig[q, 0])
                         for w in range(1, len(words)):
                             apart += np.bitwise_count(words[w] ^ qs.sig[q, w])
@@ -257,27 +366,24 @@ def top_k(vectors: DataFrame, k: int = 10, every: int = 50, dim: int = DIM, bloc
                             hit = np.argpartition(apart, need - 1)[:need]
                         hit = here[hit]
                         hit = hit[oid[hit] != qs.id[q]]
-                        best.add(q, (x[hit] @ qs.x[q]).astype(np.float64), vid[hit], oid[hit])
-            q, at = np.nonzero(best.vid >= 0)
-            cols = (qs.vid[q], best.vid[q, at], best.oid[q, at].view(np.int64), best.cos[q, at])
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["q", "vid", "oid", "cosine"])
+                        best.add(q, (x[hit] @ qs.x[q]).astype(np.float64), row[hit], oid[hit])
+            q, at = np.nonzero(np.isfinite(best.cos))
+            cols = (qs.table[q], qs.row[q], best.row[q, at], best.oid[q, at].view(np.int64), best.cos[q, at])
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["tb", "q", "row", "oid", "cosine"])
 
         return scan
 
-    picked = base.where(F.col("vid").bitwiseAND(F.lit((1 << 48) - 1)) % every == 0)
-    clean = checkpoint(picked.where((F.size("embedding") == dim) & F.expr("not exists(embedding, x -> x is null or isnan(x)) and exists(embedding, x -> x <> 0)")).withColumn("block", F.pmod(F.xxhash64("vid"), F.lit(2**31)).cast("int")))
+    flat = base.select("node.tb", "node.rowid", "id", "embedding")
+    clean = checkpoint(flat.where(F.col("rowid") % every == 0).withColumn("block", F.pmod(F.xxhash64("tb", "rowid"), F.lit(2**31)).cast("int")))
     blocks = max(1, math.ceil(clean.count() / block))
     out = None
     for i in range(blocks):
-        rows = clean.where(F.col("block") % blocks == i).select("vid", "id", "embedding").collect()  # about `block` rows
-        part = base.select("vid", "id", "embedding").mapInArrow(scan_with(spark.sparkContext.broadcast(Queries(rows, dim, seed))), "q long, vid long, oid long, cosine double")
+        rows = clean.where(F.col("block") % blocks == i).select("tb", "rowid", "id", "embedding").collect()  # about `block` rows
+        part = flat.mapInArrow(scan_with(spark.sparkContext.broadcast(Queries(rows, dim, seed))), "tb int, q long, row long, oid long, cosine double")
         out = part if out is None else out.unionByName(part)
-    from pyspark.sql.window import Window
-
-    one = out.groupBy("q", "oid").agg(F.max(F.struct("cosine", "vid")).alias("m")).select("q", "m.vid", "m.cosine")
-    w = Window.partitionBy("q").orderBy(F.desc("cosine"), "vid")
+    one = out.groupBy("tb", "q", "oid").agg(F.max_by("row", F.struct("cosine", -F.col("row"))).alias("row"), F.max("cosine").alias("cosine"))
+    w = Window.partitionBy("tb", "q").orderBy(F.desc("cosine"), "row")
     top = checkpoint(one.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k))
-    named = top.join(base.select("vid", F.col("id").alias("other_id")), "vid").join(clean.select(F.col("vid").alias("q"), F.col("id").alias("image_id")), "q")
-    label = F.element_at(F.array([F.lit(n) for n in names] or [F.lit("")]), (F.shiftright("q", 48) + 1).cast("int"))
+    named = top.join(flat.select("tb", F.col("rowid").alias("row"), F.col("id").alias("other_id")), ["tb", "row"]).join(clean.select("tb", F.col("rowid").alias("q"), F.col("id").alias("image_id")), ["tb", "q"])
     score = F.round(-F.sqrt(F.greatest(F.lit(0.0), 2 - 2 * F.col("cosine"))), 6)
-    return named.select(label.alias("vec_table"), "image_id", "other_id", score.alias("score"), "place")
+    return named.select(_label(names, F.col("tb")).alias("vec_table"), "image_id", "other_id", score.alias("score"), "place")

@@ -24,6 +24,10 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return neighbours.similar_pairs(table(spark, d, "vectors")).select("vec_table", "id_a", "id_b")
 
 
+def p2_groups(spark: SparkSession, d: str) -> DataFrame:
+    return neighbours.similar_groups(table(spark, d, "vectors"))
+
+
 def p2_top10(spark: SparkSession, d: str) -> DataFrame:
     return neighbours.top_k(table(spark, d, "vectors"))
 
@@ -103,7 +107,7 @@ def p10_segments(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_top10, p3_found, p3_ranking, p4_found, p4_main_text, p5_found, p5_kept, p6_found, p6_records, p7_found, p7_repaired, p8_found, p8_coverage, p9_found, p9_mix, p9_shares, p10_found, p10_documents, p10_segments)
+    f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_groups, p2_top10, p3_found, p3_ranking, p4_found, p4_main_text, p5_found, p5_kept, p6_found, p6_records, p7_found, p7_repaired, p8_found, p8_coverage, p9_found, p9_mix, p9_shares, p10_found, p10_documents, p10_segments)
 }
 
 

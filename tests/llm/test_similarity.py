@@ -4,6 +4,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from siftspark.llm import buckets, edits, neighbours
@@ -73,11 +74,13 @@ def test_runs():
     key = np.sort(rnd.integers(0, 20, 200))
     s1, s2 = rnd.integers(-(2**62), 2**62, 200), rnd.integers(-(2**62), 2**62, 200)
     apart = lambda i, j: (int(s1[i]) ^ int(s1[j]) & (2**64 - 1)).__and__(2**64 - 1).bit_count() + ((int(s2[i]) ^ int(s2[j])) & (2**64 - 1)).bit_count()
-    i, j = buckets.close_in_runs(key, s1, s2, 60)
+    t = pa.table({"s1": s1, "s2": s2})
+    i, j = (np.concatenate(c) for c in zip(*buckets.runs(key, buckets.sketches_within(60)(t))))
     want = {(a, b) for a in range(200) for b in range(a + 1, 200) if key[a] == key[b] and apart(a, b) <= 60}
     assert set(zip(i.tolist(), j.tolist())) == want and want
 
 
+PLAIN_VEC = "space string, model string, rowid long, id string, embedding array<float>"
 VEC = "space string, model string, rowid bigint, id string, embedding array<float>, vid string, key string"
 
 
@@ -115,24 +118,75 @@ def test_similar_pairs_against_brute_force(spark, hot):
     assert got <= want and len(got) >= 0.99 * len(want) > 20
 
 
-def test_recall_does_not_fall_with_size(spark, monkeypatch):
-    monkeypatch.setattr(neighbours, "CELL", 1000 / 2**18)  # groups as long as those of two billion vectors
-    rnd = np.random.default_rng(4)
-    a, b = rnd.standard_normal((2, 500, 64))
+def pairs_at(cosine, n, seed=4):
+    """Pairs of unit vectors of that cosine, as rows of the table."""
+    rnd = np.random.default_rng(seed)
+    a, b = rnd.standard_normal((2, n, 64))
     a /= np.linalg.norm(a, axis=1)[:, None]
     b -= (a * b).sum(1)[:, None] * a
-    b = 0.902 * a + math.sqrt(1 - 0.902**2) * b / np.linalg.norm(b, axis=1)[:, None]
-    rows = [("image", "m.1", 2 * i + j, f"{i}-{j}", x[i].tolist()) for i in range(500) for j, x in enumerate((a, b))]
-    got = {(r.id_a, r.id_b) for r in neighbours.similar_pairs(spark.createDataFrame(rows, "space string, model string, rowid long, id string, embedding array<float>")).collect()}
-    assert len(got & {(f"{i}-0", f"{i}-1") for i in range(500)}) >= 485
+    b = cosine * a + math.sqrt(1 - cosine**2) * b / np.linalg.norm(b, axis=1)[:, None]
+    return [("image", "m.1", 2 * i + j, f"{i}-{j}", x[i].tolist()) for i in range(n) for j, x in enumerate((a, b))]
+
+
+@pytest.mark.parametrize("rows", [1000, 10**6, 10**9])
+def test_recall_does_not_fall_with_size(spark, monkeypatch, rows):
+    """As many directions as a table of that many rows has, at hardly more than the least cosine."""
+    monkeypatch.setattr(neighbours, "WORK", neighbours.WORK * rows / 1000)
+    table = pairs_at(0.9005, 500)
+    got = {(r.id_a, r.id_b) for r in neighbours.similar_pairs(spark.createDataFrame(table, PLAIN_VEC)).collect()}
+    assert len(got & {(f"{i}-0", f"{i}-1") for i in range(500)}) >= 493
+
+
+def test_row_numbers_are_any_64_bits(spark):
+    table = pairs_at(0.95, 60)
+    table = [(s, m, (r * 0x9E3779B97F4A7C15 + 2**63 & 2**64 - 1) - 2**63, i, e) for s, m, r, i, e in table]
+    df = spark.createDataFrame(table, PLAIN_VEC)
+    assert neighbours.similar_pairs(df).count() == 60
+    firsts = neighbours.top_k(df, k=1, every=1).where("vec_table = 'vec_image__m_1'").collect()
+    assert len(firsts) == 120 and all(r.image_id.split("-")[0] == r.other_id.split("-")[0] for r in firsts)
 
 
-def test_groups_of_directions():
-    p = 1 - math.acos(0.9) / math.pi
-    for bits in range(12, 35):
-        n = neighbours.groups_for(bits, 0.9)
-        assert 1 - (1 - p**bits) ** n >= neighbours.RECALL > 1 - (1 - p**bits) ** (n - 1) and n < 1 << 14
-    assert neighbours.plan_for(300_000, 0.9) == (12, 32) and neighbours.plan_for(10**9, 0.9)[0] == 17
+def test_tails_grow_slowly_and_give_the_recall():
+    tails = [neighbours.tails_for(64, 2**k, 0.9) for k in (8, 10, 12, 14)]
+    assert tails == sorted(tails) and tails[-1] <= 2 * tails[0]
+    d, t = neighbours.Directions(64, 1024, neighbours.SEED), neighbours.tails_for(64, 1024, 0.9)
+    x = np.array([r[4] for r in pairs_at(0.9, 2000, 9)], np.float32)
+    ends, _ = d.tails(x, t)
+    assert np.mean([bool(set(ends[i]) & set(ends[i + 1])) for i in range(0, 4000, 2)]) >= neighbours.RECALL - 0.003
+
+
+def test_sums_of_directions():
+    d = neighbours.Directions(64, 2 * neighbours.PLAIN, 3)
+    x = np.array([r[4] for r in pairs_at(0.9, 5)], np.float32)
+    ends, value = d.tails(x, 12)
+    n = d.one.shape[1]
+    for row, e, v in zip(x, ends, value):
+        one, two = row @ d.one, row @ d.two
+        every = {((i * 2 + s) * 2 * n + j * 2 + t): ((-1) ** s * one[i] + (-1) ** t * two[j]) / math.sqrt(2) for i in range(n) for j in range(n) for s in (0, 1) for t in (0, 1)}
+        assert np.allclose(sorted(every.values())[-12:], sorted(v), atol=1e-5)
+        assert all(every[int(a)] == pytest.approx(float(b), abs=1e-5) for a, b in zip(e, v))
+
+
+@pytest.mark.parametrize("hot", [buckets.HOT, 3])
+def test_similar_groups(spark, hot):
+    rows = planted(300)
+    got = {(r.vec_table, r.id): r for r in neighbours.similar_groups(spark.createDataFrame(rows, VEC), hot=hot).collect()}
+    pairs = {(r.vec_table, r.id_a, r.id_b) for r in neighbours.similar_pairs(spark.createDataFrame(rows, VEC)).collect()}
+    assert len(got) == len({(r[0], r[3]) for r in rows if good(r)})
+    assert all(got[t, a].group_id == got[t, b].group_id for t, a, b in pairs)
+    paired = {(t, x) for t, a, b in pairs for x in (a, b)}
+    assert {k for k, r in got.items() if r.links} <= paired
+    assert all(r.group_id == r.id for k, r in got.items() if k not in paired)
+
+
+def test_a_table_of_one_vector(spark):
+    """A third and more of the rows hold one vector: no task lists its copies alone."""
+    e = [1.0] + [0.0] * 63
+    rows = [("image", "m", i, f"i{i:03}", e) for i in range(60)] + pairs_at(0.97, 10)
+    df = spark.createDataFrame(rows, PLAIN_VEC)
+    assert neighbours.similar_pairs(df, hot=7).count() == 60 * 59 // 2 + 10
+    g = neighbours.similar_groups(df, hot=7).where("vec_table = 'vec_image__m'").collect()
+    assert len(g) == 60 and all(r.group_id == "i000" and r.links == 0 for r in g)
 
 
 def test_top_k_recall(spark):
@@ -164,6 +218,6 @@ def test_top_k_recall(spark):
 
 def test_neighbours_of_nothing(spark):
     df = spark.createDataFrame([], VEC)
-    assert neighbours.similar_pairs(df).count() == 0 and neighbours.top_k(df).count() == 0
+    assert neighbours.similar_pairs(df).count() == 0 and neighbours.top_k(df).count() == 0 and neighbours.similar_groups(df).count() == 0
     bad = spark.createDataFrame([r for r in planted(10) if not good(r)], VEC)
     assert neighbours.similar_pairs(bad).count() == 0 and neighbours.top_k(bad, every=1).count() == 0
