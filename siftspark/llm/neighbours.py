@@ -7,7 +7,7 @@ similar_pairs (all vectors against all) looks at a vector only from directions o
 array is thin, so that a window of the width that a pair at the least cosine needs holds few others, while a
 similar vector is extreme there too. Only these tails are kept, as sorted runs, and each vector's window is
 expanded along its run. What stands in a window is counted on COUNTED further single projections, each with its
-own query-centred window (a code of 8 bits a projection); pairs whose count reaches the threshold are verified
+own query-centred window (a code of 4 bits a projection); pairs whose count reaches the threshold are verified
 exactly. The number of directions grows with the table so that runs stay short; how many tails a vector needs
 for a pair at the least cosine to be found with probability RECALL is measured for these directions on random
 pairs of that cosine before the table is read, so that recall does not depend on the table's size.
@@ -43,9 +43,11 @@ from siftspark.session import checkpoint
 
 DIM = 64
 RECALL = 0.995  # of a pair at the least cosine
-LOSS = 0.0005  # of such pairs, by the collision threshold
-COUNTED = 32
-NEAR = 2.24  # half a counted window, in deviations of a pair at the least cosine
+LOSS = 0.0005  # of such pairs, by the collision thresholds
+COUNTED = 64
+FIRST = 16  # counted projections that are looked at first
+STEP = 0.5  # of a code of four bits; codes cover projections from -4 to 4
+NEAR = 2.2  # half a counted window, in deviations of a pair at the least cosine
 REACH = 3.5  # of a tail's window, likewise
 PLAIN = 16_384  # directions up to which they are drawn one by one; more are sums of two drawn ones
 WORK = 120  # directions are the square root of so many times the rows: projecting and comparing then cost alike
@@ -65,8 +67,11 @@ def directions(dim: int, n: int, seed: int) -> np.ndarray:
 
 
 def usable(v: Column, dim: int) -> Column:
-    bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf"))))
-    return v.isNotNull() & (F.size(v) == dim) & ~bad & F.exists(v, lambda x: x != 0)
+    """array_contains is null where an array has a null and not the number, so a null is never usable."""
+    odd = F.lit(False)
+    for x in ("inf", "-inf", "nan"):
+        odd = odd | F.array_contains(v, F.lit(float(x)).cast("float"))
+    return (F.size(v) == dim) & ~odd & ((F.array_max(v) != 0) | (F.array_min(v) != 0))
 
 
 def units(column: pa.Array, dim: int) -> np.ndarray:
@@ -156,24 +161,29 @@ def tails_for(dim: int, n: int, least: float, recall: float = RECALL, seed: int
     raise ValueError(f"not even the {most // 2} most extreme of {n} directions give a recall of {recall} at a cosine of {least}")
 
 
-def threshold(least: float, loss: float = LOSS) -> tuple[int, int]:
-    """(half a counted window in steps of the code, collisions of COUNTED that all but `loss` of the pairs reach)."""
-    half = NEAR * math.sqrt(max(0.0, 2 - 2 * least))
-    p = math.erf(NEAR / math.sqrt(2))
+def _reached(n: int, p: float, loss: float) -> int:
+    """How many of n collisions, each of probability p, all but `loss` of the pairs reach."""
     below, count = 0.0, 0
-    while count < COUNTED:
-        below += math.comb(COUNTED, count) * p**count * (1 - p) ** (COUNTED - count)
+    while count < n:
+        below += math.comb(n, count) * p**count * (1 - p) ** (n - count)
         if below > loss:
             break
         count += 1
-    return min(127, math.ceil(half * STEP) + 1), count
+    return count
 
 
-STEP = 255 / 8  # codes cover projections from -4 to 4
+def thresholds(least: float, loss: float = LOSS) -> tuple[int, int, int]:
+    """(half a counted window in codes, collisions needed on the first projections, and on all)."""
+    apart = math.sqrt(max(1e-12, 2 - 2 * least)) / STEP
+    half = math.ceil(NEAR * apart)
+    # two codes differ by at most half if the projections do, and by chance if they differ by up to one code more
+    at = (np.arange(20_000) + 0.5) / 2000
+    p = float((np.exp(-at * at / 2) * np.clip(half + 1 - at * apart, 0, 1)).sum() * 2 / 2000 / math.sqrt(2 * math.pi))
+    return half, _reached(FIRST, p, loss / 2), _reached(COUNTED, p, loss / 2)
 
 
 def _tails(base: DataFrame, dim: int, plans: dict[int, tuple[int, int]], seed: int) -> DataFrame:
-    """node, c1 to c4 (codes of the counted projections), tails (key, value): one row a vector; plans holds
+    """node, c1 to c4 (codes of the counted projections, 16 in each), tails (key, value): one row a vector; plans holds
     directions and tails by table number."""
 
     def tails(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,7 +196,8 @@ def _tails(base: DataFrame, dim: int, plans: dict[int, tuple[int, int]], seed: i
                 mine = b.take(pa.array(here))
                 n, t = plans[int(tb)]
                 x = units(mine.column(2), dim)
-                code = np.clip(np.rint((x @ counted + 4) * STEP), 0, 255).astype(np.uint8).view(np.int64)
+                code = np.clip((x @ counted + 4) / STEP, 0, 15).astype(np.uint8)
+                code = (code[:, ::2] | code[:, 1::2] << 4).view(np.int64)
                 ends, value = (np.concatenate(c) for c in zip(*(made[n].tails(x[k : k + ROWS], t) for k in range(0, len(x), ROWS))))
                 pairs = pa.StructArray.from_arrays([pa.array((ends | (np.int64(tb) << 44)).ravel()), pa.array(value.ravel())], ["key", "value"])
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * ends.shape[1]), pairs)
@@ -197,44 +208,65 @@ def _tails(base: DataFrame, dim: int, plans: dict[int, tuple[int, int]], seed: i
     return out.select(F.struct("tb", "rowid").alias("node"), "c1", "c2", "c3", "c4", "tails")
 
 
-def colliding(half: int, count: int) -> Callable[[pa.Table], Callable[[np.ndarray, int], np.ndarray]]:
-    """Pairs whose codes stand in each other's window on at least `count` of the counted projections."""
+_EACH, _TOP = np.uint64(0x0101010101010101), np.uint64(0x8080808080808080)
+
+
+def colliding(half: int, first: int, every: int) -> Callable[[pa.Table], Callable[[np.ndarray, int], np.ndarray]]:
+    """Pairs whose codes stand in each other's window on at least `first` of the first counted projections and
+    `every` of all of them. Eight codes, a byte each, are compared at once."""
 
     def rows(t: pa.Table) -> Callable[[np.ndarray, int], np.ndarray]:
-        code = np.stack([t.column(c).to_numpy() for c in ("c1", "c2", "c3", "c4")], axis=1).view(np.uint8)
+        words = [t.column(c).to_numpy().view(np.uint64) for c in ("c1", "c2", "c3", "c4")]
+        lanes = [(w >> np.uint64(k)) & np.uint64(15) * _EACH for w in words for k in (0, 4)]
+        # with 16 + half added, a byte of the difference lies in the window if it is 16 to 16 + 2 half
+        raised = [x + np.uint64(16 + half) * _EACH for x in lanes]
+        over, past = np.uint64(128 - 16) * _EACH, np.uint64(128 - 17 - 2 * half) * _EACH
+
+        def count(at: np.ndarray, d: int, which: range) -> np.ndarray:
+            n = 0
+            for k in which:
+                apart = raised[k][at] - lanes[k][at + d]
+                n = n + np.bitwise_count((apart + over) & ~(apart + past) & _TOP)
+            return n
 
         def close(at: np.ndarray, d: int) -> np.ndarray:
-            apart = code[at] - code[at + d]  # modulo 256, as is the window; codes of a window's far ends never meet
-            apart += np.uint8(half)
-            inside = (apart <= np.uint8(2 * half)).view(np.uint64).sum(1)  # eight sums of up to four ones
-            return (inside * np.uint64(0x0101010101010101)) >> np.uint64(56) >= count
+            n = count(at, d, range(FIRST // 8))
+            out = n >= first
+            left = np.flatnonzero(out)
+            out[left] = n[left] + count(at[left], d, range(FIRST // 8, COUNTED // 8)) >= every
+            return out
 
         return close
 
     return rows
 
 
-def _classes(base: DataFrame) -> DataFrame:
+def _hashed(base: DataFrame) -> DataFrame:
+    """node, h1, h2: 128 bits of every vector."""
+    return checkpoint(base.select("node", F.xxhash64("embedding").alias("h1"), F.xxhash64(F.lit(1), "embedding").alias("h2")))
+
+
+def _classes(hashed: DataFrame) -> DataFrame:
     """node, rep: rows whose vector stands in the table more than once, with the class's smallest node."""
-    h = base.select("node", F.xxhash64("embedding").alias("h1"), F.xxhash64(F.lit(1), "embedding").alias("h2"))
-    group = h.groupBy("node.tb", "h1", "h2").agg(F.min("node").alias("rep"), F.count("*").alias("n")).where("n > 1")
-    group = sized(checkpoint(group.select("rep", "h1", "h2", F.col("tb"))))
-    return checkpoint(h.withColumn("tb", F.col("node.tb")).join(group, ["tb", "h1", "h2"]).select("node", "rep"))
+    group = hashed.groupBy("node.tb", "h1", "h2").agg(F.min("node").alias("rep"), F.count("*").alias("n")).where("n > 1")
+    group = sized(checkpoint(group.select("rep", "h1", "h2", "tb")))
+    return checkpoint(hashed.withColumn("tb", F.col("node.tb")).join(group, ["tb", "h1", "h2"]).select("node", "rep"))
 
 
 def linked(vectors: DataFrame, least: float, dim: int, recall: float, hot: int, seed: int) -> tuple[DataFrame, list[str], DataFrame, DataFrame]:
     """(base; names of tables; classes of exact copies: node, rep; pairs of representatives: a, b, cosine, x, y),
     x and y being the ids of a and b."""
     base, names = _base(vectors, dim)
-    classes = _classes(base)
+    hashed = _hashed(base)
+    classes = _classes(hashed)
     reps = base.join(sized(checkpoint(classes.where("node <> rep").select("node").distinct())), "node", "left_anti")
     plans = {}
-    for tb, n in base.groupBy("node.tb").count().collect():  # one row a table
+    for tb, n in hashed.groupBy("node.tb").count().collect():  # one row a table
         d = directions_for(n)
         plans[tb] = (d, tails_for(dim, d, least, recall, seed))
     kept = checkpoint(_tails(reps, dim, plans, seed))
     rows = kept.select("node", "c1", "c2", "c3", "c4", F.explode("tails").alias("t")).select("t.key", "t.value", "node", "c1", "c2", "c3", "c4")
-    near = near_pairs(rows, colliding(*threshold(least)), ("value", REACH * math.sqrt(max(0.0, 2 - 2 * least))), hot)
+    near = near_pairs(rows, colliding(*thresholds(least)), ("value", REACH * math.sqrt(max(0.0, 2 - 2 * least))), hot)
 
     ids = near.select(F.col("a").alias("node")).unionByName(near.select(F.col("b").alias("node"))).distinct()
     vec = base.join(sized(checkpoint(ids)), "node", "left_semi")  # the vectors of candidates are the only ones to move
