@@ -1,8 +1,8 @@
 """Duplicates hidden by formatting: one record per canonical key, counted exactly, whatever the skew.
 
-Exact partial counts find the hot keys (a bound of HOT_SHARE_INV keys follows from the threshold). Hot keys
-are aggregated on (key, salt) and then on key; all others in one shuffle. The representative is the copy with
-the smallest identifier.
+Exact partial counts find the hot keys, those with more than HOT_ROWS rows, so that at most one row in HOT_ROWS is a
+hot key. Hot keys are aggregated on (key, salt) and then on key; all others in one shuffle. The representative is
+the copy with the smallest identifier.
 
 Defined cases: null and empty titles are one title, and so is a title without letters or digits; a null url
 equals only a null url; an empty table gives no rows; other columns are ignored, whatever their names. Rows
@@ -13,22 +13,23 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
 
-import pyarrow as pa
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 from pyspark.sql.window import Window
 
-from siftspark.functions.urls import canonical_url
+from siftspark.functions.urls import normalize_url
+from siftspark.llm.buckets import sized
 from siftspark.session import checkpoint
 
 # Signs that set off title parts when there is space on both sides.
 SEPARATORS = "|‖¦-‐‑‒–—―−·•∙‣»«›‹:/\\><~"
 _SPLIT = re.compile(rf"\s[{re.escape(SEPARATORS)}]+(?=\s)")
 _NOISE = re.compile(r"[\W_]+")
-HOT_SHARE_INV = 1000
 HOT_ROWS = 20_000
+SALTS = 64
 
 
 def title_key(title: str | None) -> str:
@@ -40,28 +41,25 @@ def title_key(title: str | None) -> str:
     return "".join(sorted(parts))
 
 
-def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        urls = [None if u is None else canonical_url(u) for u in b.column(1).to_pylist()]
-        titles = [title_key(t) for t in b.column(2).to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(urls, pa.string()), pa.array(titles, pa.string())], ["bookmark_id", "u", "t"])
+@F.pandas_udf(StringType())
+def title_keys(titles: pd.Series) -> pd.Series:
+    """No built-in knows Unicode's composed form; each spelling of a batch is done once."""
+    known = {t: title_key(t) for t in titles.unique()}
+    return titles.map(known, na_action=None).fillna("")
 
 
 def keyed(bookmarks: DataFrame) -> DataFrame:
     """bookmark_id and a 128-bit hash of the canonical url and title."""
-    rows = bookmarks.select(F.col("bookmark_id").cast("long"), F.col("url").cast("string"), F.col("title").cast("string"))
+    rows = bookmarks.select(F.col("bookmark_id").cast("long").alias("bookmark_id"), normalize_url(F.col("url").cast("string")).alias("u"), title_keys(F.col("title").cast("string")).alias("t"))
     null = F.col("u").isNull()
-    return rows.mapInArrow(_keys, "bookmark_id long, u string, t string").select(
-        "bookmark_id", F.xxhash64("u", "t", null).alias("k1"), F.xxhash64(null, "t", F.lit(7), "u").alias("k2")
-    )
+    return rows.select("bookmark_id", F.xxhash64("u", "t", null).alias("k1"), F.xxhash64(null, "t", F.lit(7), "u").alias("k2"))
 
 
-def _split(rows: DataFrame, hot_rows: int | None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(hot keys, rows of hot keys, all other rows)."""
+def _split(rows: DataFrame, hot_rows: int) -> tuple[DataFrame, DataFrame]:
+    """(rows of hot keys, all other rows)."""
     counts = rows.groupBy("k1", "k2").agg(F.count("*").alias("n"))
-    limit = hot_rows if hot_rows is not None else max(HOT_ROWS, rows.count() // HOT_SHARE_INV)
-    hot = checkpoint(counts.where(F.col("n") > limit).select("k1", "k2"))  # at most rows / limit keys
-    return hot, rows.join(F.broadcast(hot), ["k1", "k2"]), rows.join(F.broadcast(hot), ["k1", "k2"], "left_anti")
+    hot = sized(checkpoint(counts.where(F.col("n") > hot_rows).select("k1", "k2")))
+    return rows.join(hot, ["k1", "k2"]), rows.join(hot, ["k1", "k2"], "left_anti")
 
 
 def _hot_records(hot_rows: DataFrame, salts: int) -> DataFrame:
@@ -69,19 +67,19 @@ def _hot_records(hot_rows: DataFrame, salts: int) -> DataFrame:
     return first.groupBy("k1", "k2").agg(F.min("keep_id").alias("keep_id"), F.sum("copies").alias("copies"))
 
 
-def records(bookmarks: DataFrame, hot_rows: int | None = None, salts: int = 64) -> DataFrame:
+def records(bookmarks: DataFrame, hot_rows: int = HOT_ROWS, salts: int = SALTS) -> DataFrame:
     """keep_id, copies: one row per record."""
     rows = checkpoint(keyed(bookmarks))
-    _, heavy, light = _split(rows, hot_rows)
+    heavy, light = _split(rows, hot_rows)
     small = light.groupBy("k1", "k2").agg(F.min("bookmark_id").alias("keep_id"), F.count("*").alias("copies"))
     return small.unionByName(_hot_records(heavy, salts)).select("keep_id", "copies")
 
 
-def copies(bookmarks: DataFrame, hot_rows: int | None = None, salts: int = 64) -> DataFrame:
+def copies(bookmarks: DataFrame, hot_rows: int = HOT_ROWS, salts: int = SALTS) -> DataFrame:
     """keep_id, bookmark_id: every copy but the representative of its record."""
     rows = checkpoint(keyed(bookmarks))
-    _, heavy, light = _split(rows, hot_rows)
+    heavy, light = _split(rows, hot_rows)
     small = light.withColumn("keep_id", F.min("bookmark_id").over(Window.partitionBy("k1", "k2")))
-    kept = F.broadcast(_hot_records(heavy, salts).select("k1", "k2", "keep_id"))  # one row per hot key
+    kept = sized(checkpoint(_hot_records(heavy, salts).select("k1", "k2", "keep_id")))
     big = heavy.join(kept, ["k1", "k2"])
     return small.select("keep_id", "bookmark_id").unionByName(big.select("keep_id", "bookmark_id")).where("bookmark_id <> keep_id").distinct()

@@ -6,7 +6,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from siftspark.functions.urls import canonical_url
+from siftspark.functions.urls import normalize_url
 from siftspark.llm import copies, fusion
 
 BOOK = "bookmark_id long, url string, title string, folder string, k1 string"
@@ -30,20 +30,21 @@ def test_order_of_parts_does_not_matter(parts, rnd):
     assert copies.title_key(" | ".join(parts)) == copies.title_key(" – ".join(unicodedata.normalize("NFD", p) for p in mixed))
 
 
-def brute(rows):
-    groups = {}
-    for i, u, t, *_ in rows:
-        groups.setdefault((None if u is None else canonical_url(u), copies.title_key(t)), []).append(i)
+def brute(spark, rows):
+    urls = spark.createDataFrame([(r[0], r[1]) for r in rows], "i long, u string").select("i", normalize_url("u")).collect()
+    keys, groups = {i: u for i, u in urls}, {}
+    for i, _, t, *_ in rows:
+        groups.setdefault((keys[i], copies.title_key(t)), []).append(i)
     return groups
 
 
-@pytest.mark.parametrize("hot", [None, 0, 5, 10**9])
+@pytest.mark.parametrize("hot", [copies.HOT_ROWS, 0, 5, 10**9])
 def test_copies_against_brute_force(spark, hot):
     rnd = random.Random(3)
     rows = [(i, f"https://www.e.com/{'hot' if rnd.random() < 0.4 else rnd.randint(0, 30)}/", rnd.choice(["A | B", "B - a", "", None, "c"]), "x", "y") for i in range(400)]
     rows += [(1000, None, None, None, None), (1001, None, "", None, None), (1002, "x" * 100_000, "t" * 100_000, None, None)]
     df = spark.createDataFrame(rows, BOOK)
-    want = brute(rows)
+    want = brute(spark, rows)
     got = {(r.keep_id, r.bookmark_id) for r in copies.copies(df, hot, 3).collect()}
     assert got == {(min(g), i) for g in want.values() for i in g if i != min(g)}
     assert sorted((r.keep_id, r.copies) for r in copies.records(df, hot, 3).collect()) == sorted((min(g), len(g)) for g in want.values())
