@@ -1,8 +1,16 @@
-"""HTML to title and text, and the state of a fetched page."""
+"""HTML to title and text, and the state of a fetched page.
+
+A page is reduced, not walked: comments and silent parts are cut out (innermost first, so that they may be nested),
+titles are taken out, and what lies between the tags that are left is the text.
+
+Defined cases: null gives no title and an empty text; a part or tag that is never closed goes on to the end of the
+page; a sign that opens no tag is text; several titles are one after the other; entities are decoded at last.
+"""
 
 from __future__ import annotations
 
-from html.parser import HTMLParser
+import re
+from html import unescape
 
 import pandas as pd
 from pyspark.sql import Column
@@ -23,44 +31,26 @@ WALL_CHARS, THIN_CHARS, KEPT_CHARS = 2000, 200, 5000
 REFUSED = (401, 402, 403, 429)
 
 
-class _Reader(HTMLParser):
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.deep, self.in_title = 0, False
-        self.title: list[str] = []
-        self.text: list[str] = []
-
-    def handle_starttag(self, tag, attrs):
-        self.deep += tag in SILENT
-        self.in_title = self.in_title or tag == "title"
-
-    def handle_endtag(self, tag):
-        if tag in SILENT and self.deep:
-            self.deep -= 1
-        self.in_title = self.in_title and tag != "title"
-
-    def handle_data(self, data):
-        if self.deep:
-            return
-        if self.in_title:
-            self.title.append(data)
-        elif chunk := data.strip():
-            self.text.append(chunk)
+_CUT = "<br>"  # any tag: what is left of a part that was cut out, so that texts on both sides stay apart
+_CODE = re.compile(r"<!--.*?(?:--!?>|\Z)|<(script|style)\b[^>]*(?<!/)>.*?(?:</\1\b[^>]*>|\Z)", re.IGNORECASE | re.DOTALL)
+_INNERMOST = re.compile(r"<({0})\b[^>]*(?<!/)>(?:(?!<(?:{0})\b).)*?</\1\b[^>]*>".format("|".join(SILENT)), re.IGNORECASE | re.DOTALL)
+_UNCLOSED = re.compile(r"<(?:{0})\b[^>]*>.*\Z".format("|".join(SILENT)), re.IGNORECASE | re.DOTALL)
+_TITLE = re.compile(r"<title\b[^>]*>(.*?)(?:</title\b[^>]*>|\Z)", re.IGNORECASE | re.DOTALL)
+_TAG = re.compile(r"<(?:/?[a-z]|[!?])(?:[^>\"']|\"[^\"]*\"|'[^']*')*(?:>|\Z)|<(?:/?[a-z]|[!?])[^>]*>", re.IGNORECASE)
 
 
 def parse(html: str) -> tuple[str | None, str]:
-    r = _Reader()
-    try:
-        r.feed(html)
-        r.close()
-    except Exception:  # broken markup keeps what was read
-        pass
-    return " ".join("".join(r.title).split()) or None, " ".join(r.text)
+    page, cuts = _CODE.sub(_CUT, html), 1
+    while cuts:
+        page, cuts = _INNERMOST.subn(_CUT, page)
+    page = _UNCLOSED.sub(_CUT, page)
+    title = "".join(unescape(_TAG.sub("", t)) for t in _TITLE.findall(page))
+    chunks = (unescape(x).strip() for x in _TAG.split(_TITLE.sub(_CUT, page)))
+    return " ".join(title.split()) or None, " ".join(x for x in chunks if x)
 
 
 @F.pandas_udf(StructType([StructField("title", StringType()), StructField("text", StringType())]))
 def extract(html: pd.Series) -> pd.DataFrame:
-    """Null gives no title and an empty text."""
     return pd.DataFrame([parse(h) if isinstance(h, str) else (None, "") for h in html], columns=["title", "text"])
 
 
