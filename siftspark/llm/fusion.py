@@ -1,12 +1,13 @@
 """One ranking per query from lists whose scores differ in scale.
 
 Scores become percentiles of their own list; every hit's percentiles, sorted ascending, are compared
-lexicographically (leximin), so that a weak score cannot hide behind a strong one. A hit that has the better
-place than every other hit in more than half of the query's lists is put first: the first hit in leximin order is
-checked for that, and where it fails, since one bad list decides that order, a tournament finds the one hit that can.
+lexicographically (leximin), so that a weak score cannot hide behind a strong one. The hit that has the better place
+than every other hit in more than half of the query's lists is put first. Leximin names it: its first hit is
+checked against all others; where the check fails, since one bad list decides that order, only hits that beat the
+one that failed can still be it, and the first of these in leximin order is next, until none is left.
 
-No query or list is ever gathered in one task: places in a list are counted on distinct scores inside score
-buckets, and the majority winner is found by a two-level tournament over bounded blocks.
+Places in a list are counted on distinct scores inside score buckets. A query is compared with one hit of its own at
+a time, over salts, and aggregated with partial results, so no query or list is ever gathered in one task.
 
 Defined cases: the best valid score of an id in a list counts; null and NaN scores are no place; an id without
 a valid score in a list stands behind all that have one; equal scores have equal places; rows without query_id,
@@ -22,7 +23,7 @@ from pyspark.sql.window import Window
 from siftspark.llm.buckets import sized
 from siftspark.session import checkpoint
 
-BLOCK = 256  # hits of one query in one tournament block
+SALTS = 16  # tasks a query is spread over when it is compared with one of its hits
 BUCKETS = 64  # score buckets of a large list
 LARGE = 50_000  # distinct scores from which a list is cut into buckets
 ABSENT = 2_147_483_647
@@ -64,19 +65,18 @@ def _short(hits: DataFrame) -> DataFrame:
 
 
 def profiles(hits: DataFrame, large: int = LARGE) -> DataFrame:
-    """query_id, image_id (hashed), lists (number of the query's lists), places (map source -> place), leximin
-    (ascending percentiles, 0 for an absent list)."""
+    """query_id, image_id (hashed), places (map source -> place), leximin (number of lists that place the hit, its
+    percentiles there ascending): a list that does not place it counts as a percentile of 0, which is below all
+    others, so that vectors filled up with zeros compare as these pairs do."""
     placed = places(best_scores(_short(hits)), large)
-    lists = placed.groupBy("query_id").agg(F.countDistinct("source").alias("lists"))
     part = F.col("place").isNotNull()
     share = (F.col("n") - F.col("place") + 1) / F.col("n")
     rows = placed.groupBy("query_id", "image_id").agg(
         F.map_from_entries(F.collect_list(F.when(part, F.struct("source", F.col("place").cast("int").alias("place"))))).alias("places"),
-        F.collect_list(F.when(part, share)).alias("got"),
+        F.array_sort(F.collect_list(F.when(part, share))).alias("got"),
+        F.collect_set("source").alias("sources"),
     )
-    rows = rows.join(lists, "query_id")
-    pad = F.array_repeat(F.lit(0.0), (F.col("lists") - F.size("got")).cast("int"))
-    return rows.select("query_id", "image_id", "lists", "places", F.array_sort(F.concat("got", pad)).alias("leximin"))
+    return rows.select("query_id", "image_id", "places", "sources", F.struct(F.size("got").alias("placed"), "got").alias("leximin"))
 
 
 def _wins(a: str, b: str) -> str:
@@ -84,48 +84,58 @@ def _wins(a: str, b: str) -> str:
     return f"size(filter(map_entries({a}.places), e -> e.value < coalesce({b}.places[e.key], {ABSENT})))"
 
 
-def _champion(rows: str) -> str:
-    """SQL: the one entry of an array that may beat all others; a majority winner is never replaced."""
-    return f"aggregate({rows}, cast(null as struct<image_id:bigint,lists:bigint,places:map<string,int>>), (c, x) -> if(c is null or 2 * {_wins('x', 'c')} > x.lists, x, c))"
+def _lead(rows: DataFrame) -> DataFrame:
+    """query_id, c: the first hit in leximin order."""
+    return rows.groupBy("query_id").agg(F.max_by(F.struct("image_id", "places"), F.struct("leximin", "image_id")).alias("c"))
 
 
-def _unbeaten(prof: DataFrame, lead: DataFrame) -> DataFrame:
-    """The exact check: of (query_id, c), those that beat every other hit of their query in most lists."""
-    joined = prof.select("query_id", F.struct("image_id", "lists", "places").alias("o")).join(lead, "query_id")
-    lost = F.expr(f"o.image_id <> c.image_id and 2 * {_wins('c', 'o')} <= c.lists")
-    checked = joined.groupBy("query_id", F.col("c.image_id").alias("image_id")).agg(F.sum(lost.cast("int")).alias("lost"))
-    return checked.where("lost = 0").select("query_id", "image_id")
+def _against(rows: DataFrame, lead: DataFrame) -> DataFrame:
+    """rows with their query's c and lists; a long query is spread over salts."""
+    spread = lead.withColumn("salt", F.explode(F.array([F.lit(i) for i in range(SALTS)])))
+    return rows.withColumn("salt", F.pmod(F.xxhash64("image_id"), F.lit(SALTS)).cast("int")).join(spread, ["query_id", "salt"]).drop("salt")
 
 
-def _tournament(prof: DataFrame, block: int) -> DataFrame:
-    """query_id, c: the only hit of a query that may win; blocks of hits first, then their champions."""
-    size = prof.groupBy("query_id").agg(F.count("*").alias("hits"))
-    salt = F.pmod(F.xxhash64("image_id"), F.ceil(F.col("hits") / block).cast("long"))
-    entry = F.collect_list(F.struct("image_id", "lists", "places")).alias("r")
-    one = prof.join(size, "query_id").groupBy("query_id", salt.alias("salt")).agg(entry)
-    top = one.select("query_id", F.expr(_champion("r")).alias("c"))
-    return top.groupBy("query_id").agg(F.collect_list("c").alias("r")).select("query_id", F.expr(_champion("r")).alias("c"))
+def _unbeaten(prof: DataFrame, lead: DataFrame) -> DataFrame:
+    """The exact check: of (query_id, c, lists), those that beat every other hit of their query in most lists."""
+    rows = _against(prof.select("query_id", "image_id", F.struct("places").alias("o")), lead)
+    lost = F.expr(f"image_id <> c.image_id and 2 * {_wins('c', 'o')} <= lists")
+    checked = rows.groupBy("query_id", F.col("c.image_id").alias("first")).agg(F.sum(lost.cast("int")).alias("lost"))
+    return checked.where("lost = 0").select("query_id", F.col("first").alias("image_id"))
 
 
-def majority_winner(prof: DataFrame, block: int = BLOCK) -> DataFrame:
-    """query_id, image_id (hashed) of the hit that beats every other hit of its query in more than half of the lists.
+def list_counts(prof: DataFrame) -> DataFrame:
+    """query_id, lists: sources are few."""
+    return prof.groupBy("query_id").agg(F.size(F.array_distinct(F.flatten(F.collect_set("sources")))).alias("lists"))
 
-    The first hit in leximin order is checked; only queries in which it fails go to a tournament.
-    """
-    lead = prof.groupBy("query_id").agg(F.max_by(F.struct("image_id", "lists", "places"), F.struct("leximin", "image_id")).alias("c"))
-    first = checkpoint(_unbeaten(prof, lead))
-    rest = prof.join(first.select("query_id"), "query_id", "left_anti")
-    return first.unionByName(_unbeaten(rest, _tournament(rest, block)))
 
-
-def ranking(hits: DataFrame, large: int = LARGE, block: int = BLOCK) -> DataFrame:
-    """query_id, image_id, place, leximin: the whole combined ranking; place 1 is best, ties share the
-    smaller image_id first."""
+def majority_winner(prof: DataFrame) -> DataFrame:
+    """query_id, image_id (hashed) of the hit that beats every other hit of its query in more than half of the lists."""
+    lists = list_counts(prof)
+    lead = _lead(prof).join(lists, "query_id")
+    first = checkpoint(_unbeaten(prof, lead))
+    left = prof.join(first.select("query_id"), "query_id", "left_anti")
+    last = None
+    rows, lead = left, checkpoint(_lead(left).join(lists, "query_id"))
+    while not lead.isEmpty():
+        # hits that do not beat the leading one cannot be first; every round leaves fewer
+        rows = checkpoint(_against(rows.withColumn("o", F.struct("places")), lead).where(F.expr(f"2 * {_wins('o', 'c')} > lists")).select(prof.columns))
+        new = checkpoint(_lead(rows).join(lists, "query_id"))
+        done = lead.join(new.select("query_id"), "query_id", "left_anti")
+        last = done if last is None else last.unionByName(done)
+        lead = new
+    return first if last is None else first.unionByName(_unbeaten(left, checkpoint(last)))
+
+
+def ranking(hits: DataFrame, large: int = LARGE) -> DataFrame:
+    """query_id, image_id, place, weakest (least percentile): the whole combined ranking; place 1 is best, the hit
+    that beats all others in most lists stands first, all others in leximin order, ties by the smaller image_id."""
     prof = checkpoint(profiles(hits, large))
-    first = majority_winner(prof, block).withColumn("first", F.lit(1))
+    first = majority_winner(prof).withColumn("first", F.lit(1))
     names = hits.dropna(subset=["query_id", "source", "image_id"]).select("query_id", F.xxhash64("image_id").alias("h"), "image_id").distinct()
     rows = prof.withColumnRenamed("image_id", "h").join(first.withColumnRenamed("image_id", "h"), ["query_id", "h"], "left").join(names, ["query_id", "h"])
-    rows = rows.select("query_id", "image_id", "leximin", F.coalesce("first", F.lit(0)).alias("first"))
+    rows = rows.join(sized(checkpoint(list_counts(prof))), "query_id")
+    weakest = F.when(F.col("leximin.placed") < F.col("lists"), 0.0).otherwise(F.element_at("leximin.got", 1))
+    rows = rows.select("query_id", "image_id", "leximin", F.round(weakest, 6).alias("weakest"), F.coalesce("first", F.lit(0)).alias("first"))
     order = [F.desc("first"), F.desc("leximin"), F.col("image_id")]
     # ordered ranges, kept as a table so that their numbers stay what they are; a long query spans many of them
     parts = int(hits.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -134,10 +144,10 @@ def ranking(hits: DataFrame, large: int = LARGE, block: int = BLOCK) -> DataFram
     before = F.coalesce(F.sum("m").over(Window.partitionBy("query_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     sizes = sizes.select("query_id", "part", before.alias("before"))
     inner = F.row_number().over(Window.partitionBy("query_id", "part").orderBy(*order))
-    return ranged.withColumn("inner", inner).join(sizes, ["query_id", "part"]).select("query_id", "image_id", (F.col("before") + F.col("inner")).alias("place"), F.round(F.element_at("leximin", 1), 6).alias("weakest"))
+    return ranged.withColumn("inner", inner).join(sizes, ["query_id", "part"]).select("query_id", "image_id", (F.col("before") + F.col("inner")).alias("place"), "weakest")
 
 
-def first_hits(hits: DataFrame, large: int = LARGE, block: int = BLOCK) -> DataFrame:
-    first = checkpoint(majority_winner(checkpoint(profiles(hits, large)), block).withColumnRenamed("image_id", "h"))
+def first_hits(hits: DataFrame, large: int = LARGE) -> DataFrame:
+    first = checkpoint(majority_winner(checkpoint(profiles(hits, large))).withColumnRenamed("image_id", "h"))
     rows = hits.dropna(subset=["query_id", "source", "image_id"]).select("query_id", "image_id", F.xxhash64("image_id").alias("h"))
     return rows.join(sized(first), ["query_id", "h"]).select("query_id", "image_id").distinct()
