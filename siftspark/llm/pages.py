@@ -10,7 +10,7 @@ runs of menu words, separated lists, linked lists under a winning header and all
 paragraph go too. Global winners are bounded by their share; host winners travel as hashes.
 
 Defined cases: null, empty and blank bodies have no lines; lines are those between line feeds, numbered from 0;
-a first line in lower case is the user's own comment; lines that a residue model calls messages are no furniture;
+a first line in lower case that is no message is the user's own comment; lines that a residue model calls messages are no furniture;
 a url without host votes under the empty host; copies of a text, whatever their id, url, comment or blank lines,
 vote once a host, and for the web under their first host only; extra columns are ignored.
 """
@@ -34,8 +34,8 @@ HOST_SHARE = 0.3  # of a host's pages: furniture of the host
 LEAST = 3  # votes at least
 FIRM = 0.2  # share of a first word's lines that go on with the same second word
 HEADER = 0.5  # share of a path's lines that a list follows
-HOSTS_SENT = 20_000  # host models up to which they are broadcast
-SALTS = 16
+KEYS_SENT = 2_000_000  # keys of all host models up to which they are broadcast
+SALTS = 64
 _SEP = re.compile(r"\s*[·|»>/•]\s+|\s{2,}")
 _DIGITS = re.compile(r"\d+")
 _INNER = re.compile(r"(?<=\S )[A-Z][a-zà-ÿ]+")
@@ -176,7 +176,7 @@ def consensus(rows: DataFrame, marks: re.Pattern | None = None) -> tuple[Web, Da
     votes = texts.mapInArrow(lambda batches: _votes(batches, marks), "host string, kind string, key long, first long, once int")
     by_host = checkpoint(votes.groupBy("host", "kind", "key", "first").agg(F.count("*").alias("n"), F.sum("once").alias("once")))
     web = by_host.groupBy("kind", "key", "first").agg(F.count_if(F.col("once") > 0).alias("hosts"), F.sum("once").alias("n"))
-    common = (F.col("hosts") >= max(LEAST, WEB_SHARE * hosts)) | (F.col("n") >= max(LEAST + 2, WEB_SHARE * all_pages))
+    common = (F.col("hosts") >= max(LEAST, WEB_SHARE * hosts)) | ((F.col("n") >= max(LEAST + 2, WEB_SHARE * all_pages)) & (F.col("hosts") >= LEAST))
     rows = checkpoint(web.where(F.col("kind").isin("p", "l", "o", "f") & common)).collect()  # bounded by the share
     pathn = {r.key: r.n for r in rows if r.kind == "p"}
     firsts = {r.key: r.n for r in rows if r.kind == "f"}
@@ -193,7 +193,7 @@ def consensus(rows: DataFrame, marks: re.Pattern | None = None) -> tuple[Web, Da
 def with_host(pages: DataFrame, own: DataFrame) -> DataFrame:
     """id, host, body, keys: pages with the winners of their host; a busy host is spread over salts."""
     rows = pages.withColumn("host", _host())
-    if own.count() <= HOSTS_SENT:
+    if own.agg(F.coalesce(F.sum(F.size("keys") + 1), F.lit(0))).first()[0] <= KEYS_SENT:
         return rows.join(F.broadcast(own), "host", "left").select("id", "host", "body", "keys")
     spread = own.withColumn("salt", F.explode(F.array([F.lit(i) for i in range(SALTS)])))
     rows = rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
@@ -213,7 +213,7 @@ def label_lines(body: str, host: str, web: Web, own: set[int], odds: Callable[[s
     got = [OTHER] * n
     keys = [key(path_of(x, letters)) for x in lines]
     for i, x in enumerate(lines):
-        if i == 0 and at[0] == 0 and x[0].islower():
+        if i == 0 and at[0] == 0 and x[0].islower() and not (odds and odds(x) > 0):
             got[i] = COMMENT
         elif keys[i] in web.paths or keys[i] in own:
             got[i] = FURNITURE

@@ -72,7 +72,7 @@ def test_pages_of_nothing(spark):
 
 def test_busy_hosts_are_spread(spark, monkeypatch):
     rows, furniture, _ = site_items()
-    monkeypatch.setattr(pages, "HOSTS_SENT", 0)
+    monkeypatch.setattr(pages, "KEYS_SENT", -1)
     got = {}
     for r in residue.furniture(spark.createDataFrame(rows, ITEM)).collect():
         got.setdefault(r.id, set()).add(r.line_no)
@@ -86,8 +86,37 @@ def test_hosts_and_paths():
 
 
 def test_residue_model_without_trusted_records():
-    m = residue.fit([["a plain line of text"], ["another one"]])
+    m = residue.fit([(False, [["a", "plain", "line"]]), (False, [["another"]]), (False, [])])
     assert not m.record(["404 not found"]) and not m.record([])
+    assert residue.trusted(["404 Not Found"]) and not residue.trusted(["JavaScript basics for new readers"]) and not residue.trusted(["503 steps up the tower"] * 11)
+
+
+def test_no_passage_of_residue_is_clearly_content():
+    m = residue.Model({"error": 5.0, "garden": -4.0, "plain": -2.0}, -1.0)
+    assert m.record(["error", "plain"]) and not m.record(["error error error", "garden"]) and not m.record(["plain"])
+    assert not residue.Model({"error": 1.0}, -2.0).record(["error"])  # the prior counts
+
+
+def test_long_residue_is_found_too(spark):
+    """No length makes a record content; a first line in lower case is a comment unless it is filler."""
+    rows, _, errors = site_items()
+    rnd = random.Random(4)
+    latin = "lorem ipsum dolor sit amet massa erat urna nulla diam sem quam velit".split()
+    filler = lambda n: "\n".join(" ".join(rnd.choices(latin, k=14)).capitalize() + "." for _ in range(n))
+    rows += [(f"f{k}", "pdf", None, None, "Lorem ipsum dolor sit amet.\n" + filler(k), None, None) for k in range(12)] + [("long filler", "pdf", None, None, filler(80), None, None)]
+    rows += [("low", "link", rows[0][2], None, "lorem ipsum dolor sit amet massa", None, None), ("bare", "link", rows[0][2], None, "read this later", None, None)]
+    got = {r.id for r in residue.residues(spark.createDataFrame(rows, ITEM)).collect()}
+    assert got >= errors | {"long filler", "low"} | {f"f{k}" for k in range(12)} and "bare" not in got
+
+
+def test_every_body_of_an_id_keeps_its_own_lines(spark):
+    rows, _, _ = site_items()
+    twice = [("twice", *next(r for r in rows if r[0] == i)[1:]) for i in ("0-0", "1-1")]
+    items = spark.createDataFrame(rows + twice, ITEM)
+    text = {}
+    for r in residue.main_text(items).collect():
+        text.setdefault(r.id, set()).add(r.text)
+    assert text["twice"] == text["0-0"] | text["1-1"]
 
 
 def test_alignment():
@@ -212,5 +241,5 @@ def test_sample_takes_an_id_once(spark):
     ids = [r[0] for r in spark.range(40).selectExpr("cast(id as string) id").orderBy(F.xxhash64("id")).collect()]
     rows = [(i, "pdf", None, None, f"text {i}", None, None) for i in ids] + [(ids[0], "pdf", None, None, f"text {ids[0]}", None, None)] * 30
     got = residue.sample(spark.createDataFrame(rows, ITEM), pages.Web(), 20)
-    assert sorted(got) == sorted([f"text {i}"] for i in ids[:20])
+    assert sorted(t[0] for _, t in got) == sorted(residue.tokens(f"text {i}") for i in ids[:20])
     assert residue.sample(spark.createDataFrame([], ITEM), pages.Web(), 20) == []
