@@ -19,26 +19,29 @@ import re
 import string
 import unicodedata
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Container, Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftspark.llm.buckets import sized
 from siftspark.llm.pages import key
 from siftspark.llm.perceptron import Editor, Joiner, align
 from siftspark.llm.residue import trusted
 from siftspark.session import checkpoint
 
 TRAIN = 4_000  # unknown words the editor is trained on, at most
-JOIN_TRAIN = 1_000  # texts the decision on line ends is trained on, at most
-KNOWN_SHARE = 2e-5  # of the records that are no scans, for a known word
+JOIN_TRAIN = 4_000  # different texts the decision on line ends is trained on, at most; scans among them count
+KNOWN = 2  # records that are no scans, for a known word
+VOCABULARY = 1_000_000  # known words at most, the most frequent ones
 COMMON_SHARE = 0.02  # of the scans: short tokens that often are what they are, such as units
 WRAPPED = 0.25  # share of lines that go on in lower case
-NARROWEST, WIDEST = 35, 120  # characters of the longest line
+NARROWEST, WIDEST = 35, 120  # characters of the longest of the lines that are not too wide
+FITTING = 0.8  # share of lines that are not too wide
+HEADERS_SENT = 2_000_000  # shared headers up to which they are broadcast, as hashes
 SHARED_EDITS = 3  # words that must show a difference before it is an operation
+EDIT_EVERY = 6  # characters of a word for each edit beyond two
 EDGE = 2  # lines from a page's edge
 HYPHENS = "-‐‑¬\xad"
 _NUMBER = re.compile(r"^\W*(?:(?:page|p|pg|seite|s)\b\.?\s*)?[\dlIOoSB|]{1,4}(?:\s*(?:/|of|von)\s*[\dlIOoSB|]{1,4})?\W*$", re.IGNORECASE)
@@ -55,7 +58,8 @@ def wrapped(text: str | None) -> bool:
     if not text:
         return False
     lines = [x.strip() for x in text.split("\n") if x.strip()]
-    if len(lines) < 2 or not NARROWEST <= max(map(len, lines)) <= WIDEST or trusted(lines):
+    narrow = [len(x) for x in lines if len(x) <= WIDEST]
+    if len(lines) < 2 or len(narrow) < FITTING * len(lines) or max(narrow) < NARROWEST or trusted(lines):
         return False
     return sum(x[0].islower() for x in lines) >= WRAPPED * len(lines)
 
@@ -88,7 +92,7 @@ def caps(line: str) -> bool:
     return len(letters) >= 4 and sum(c.isupper() for c in letters) >= 0.8 * len(letters)
 
 
-def furniture(lines: list[str], title: str | None, shared: set[int]) -> set[int]:
+def furniture(lines: list[str], title: str | None, shared: Container[int]) -> set[int]:
     """Row numbers of running headers and page numbers of a wrapped text."""
     at = [i for i, x in enumerate(lines) if x.strip()]
     text = [x.strip() for x in lines]
@@ -170,14 +174,14 @@ class Reader:
         return self.cache[token]
 
     def _correct(self, token: str) -> tuple[str, list[int]] | None:
-        if not token or len(token) > 40 or self.fine(token):
+        if not token or self.fine(token):
             return None
         if _DIGITISH.match(token):
             return token.translate(_LOOKALIKE), [i for i, c in enumerate(token) if not c.isdigit()]
         if token[-1] in "!|" and self.fine(token[:-1]):
             return None
-        for _, text, at in self.editor.corrections(token):
-            if text.lower() in self.known and len(text) >= 2:
+        for score, text, at in self.editor.corrections(token, max(2, len(token) // EDIT_EVERY)):
+            if score >= self.editor.margin and text.lower() in self.known and len(text) >= 2:
                 return text, at
         # one sign among letters, of a kind the training sample did not show
         signs = [i for i, c in enumerate(token) if not c.isalpha()]
@@ -252,7 +256,7 @@ class Page:
     text: str
 
 
-def read(text: str, title: str | None, shared: set[int], reader: Reader) -> Page:
+def read(text: str, title: str | None, shared: Container[int], reader: Reader) -> Page:
     """Faults (line, fault) and the repaired paragraphs of a wrapped text."""
     lines = text.split("\n")
     gone = furniture(lines, title, shared)
@@ -379,7 +383,7 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 words = {w for w in words if w[-1] not in HYPHENS}
             if not scan:
                 words |= {p for w in words if "-" in w for p in w.split("-")}
-            got.update((scan, w) for w in words if len(w) <= 40)
+            got.update((scan, w) for w in words)
             got[scan, ""] += 1
         rows = [(s, w, n) for (s, w), n in got.items()]
         cols = list(zip(*rows)) if rows else [[]] * 3
@@ -392,14 +396,17 @@ def learn(items: DataFrame, ocr: DataFrame, size: int = TRAIN) -> Reader:
     texts = texts.unionByName(ocr.where("text is not null").select(F.col("text").cast("string"), F.lit(False).alias("typed")))
     counts = checkpoint(texts.mapInArrow(_words, "scan boolean, word string, n long").groupBy("scan", "word").agg(F.sum("n").alias("n")))
     total = {r.scan: r.n for r in counts.where("word = ''").collect()}
-    clean = counts.where(~F.col("scan") & (F.col("n") >= max(2, KNOWN_SHARE * total.get(False, 0))) & F.col("word").rlike(r"^\p{L}[\p{L}'’-]*$"))
-    known = {r.word: r.n for r in clean.select("word", "n").collect()}  # bounded by the share
+    clean = counts.where(~F.col("scan") & (F.col("n") >= KNOWN) & F.col("word").rlike(r"^\p{L}[\p{L}'’-]*$")).orderBy(F.desc("n"), "word").limit(VOCABULARY)
+    clean = checkpoint(clean.select("word", "n"))
+    known = {r.word: r.n for r in clean.collect()}  # at most VOCABULARY words
     often = counts.where(F.col("scan") & (F.col("word") != "") & (F.col("n") >= max(5, COMMON_SHARE * total.get(True, 0))) & (F.length(F.regexp_replace("word", r"[^\p{L}]", "")) < 3))
     common = frozenset(r.word.lower() for r in often.select("word").collect())  # bounded by the share
     seen = counts.where("scan").select("word", "n", F.lower("word").alias("low"))
     unknown = seen.join(clean.select(F.col("word").alias("low")), "low", "left_anti").where(F.col("word").rlike(r"\p{L}") & (F.length("word") >= 4))
     rows = unknown.orderBy(F.xxhash64("word")).limit(size).select("word", "n").collect()
-    lines = texts.where(~F.col("typed")).select("text").orderBy(F.xxhash64("text")).limit(JOIN_TRAIN).collect()
+    hashed = texts.where(~F.col("typed")).select(F.xxhash64("text").alias("h"), "text")
+    last = hashed.select("h").distinct().orderBy("h").limit(JOIN_TRAIN).agg(F.max("h")).first()[0]
+    lines = hashed.where(F.col("h") <= F.lit(last).cast("long")).dropDuplicates(["h"]).orderBy("h").select("text").collect()  # at most JOIN_TRAIN
     joiner = train_joiner([r.text for r in lines if wrapped(r.text)], frozenset(known))
     return Reader(frozenset(known), common, train({r.word: r.n for r in rows if r.word.lower() not in common}, known), joiner)
 
@@ -418,22 +425,33 @@ def _edge_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.int64(), pa.int64()))], ["rec_table", "rec_id", "key", "beside"])
 
 
+def _edges(rows: DataFrame) -> DataFrame:
+    return rows.select("rec_table", "rec_id", "text").mapInArrow(_edge_keys, "rec_table string, rec_id string, key long, beside long").distinct()
+
+
 def shared_headers(rows: DataFrame) -> DataFrame:
-    """rec_table, rec_id, shared: edge lines of a record that head other records too, next to other lines.
+    """key of edge lines that head several records, next to other lines.
 
     The line beside tells headers from the first lines of copied pages.
     """
-    edge = checkpoint(rows.select("rec_table", "rec_id", "text").mapInArrow(_edge_keys, "rec_table string, rec_id string, key long, beside long").distinct())
-    one = edge.select("rec_table", "rec_id", "key").distinct().groupBy("key").agg(F.count("*").alias("n"))
-    many = edge.groupBy("key", "beside").agg(F.count("*").alias("m")).groupBy("key").agg(F.count("*").alias("m")).join(one, "key").where("n > 1 and m > 1").select("key")
-    return edge.select("rec_table", "rec_id", "key").distinct().join(many, "key").groupBy("rec_table", "rec_id").agg(F.collect_list("key").alias("shared"))
+    edge = checkpoint(_edges(rows).select(F.xxhash64("rec_table", "rec_id").alias("rec"), "key", "beside"))
+    one = edge.select("rec", "key").distinct().groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    return edge.select("key", "beside").distinct().groupBy("key").agg(F.count("*").alias("m")).where("m > 1").join(one, "key").select("key")
 
 
 def readings(items: DataFrame, ocr: DataFrame) -> DataFrame:
     """rec_table, rec_id, model, scanned, faults, text: every record read, with its repaired text."""
     rows = records(items, ocr)
-    reader = items.sparkSession.sparkContext.broadcast(learn(items, ocr))
-    full = rows.join(sized(checkpoint(shared_headers(rows))), ["rec_table", "rec_id"], "left")  # texts stay where they are
+    spark = items.sparkSession
+    reader = spark.sparkContext.broadcast(learn(items, ocr))
+    heads = checkpoint(shared_headers(rows))
+    if heads.count() <= HEADERS_SENT:
+        every = spark.sparkContext.broadcast(frozenset(r.key for r in heads.collect()))
+        full = rows.withColumn("shared", F.lit(None).cast("array<bigint>"))
+    else:  # too many to send: each record gets its own, and is shuffled for it
+        every = spark.sparkContext.broadcast(frozenset())
+        own = _edges(rows).join(heads, "key").groupBy("rec_table", "rec_id").agg(F.collect_set("key").alias("shared"))
+        full = rows.join(own, ["rec_table", "rec_id"], "left")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         r = reader.value
@@ -443,7 +461,7 @@ def readings(items: DataFrame, ocr: DataFrame) -> DataFrame:
             out = []
             for table, i, model, title, text, shared in zip(*(b.column(k).to_pylist() for k in range(6))):
                 if wrapped(text):
-                    p = read(text, title, set(shared or ()), r)
+                    p = read(text, title, every.value if shared is None else set(shared), r)
                     out.append((table, i, model, True, [{"line_no": n, "fault": f} for n, f in p.faults], p.text))
                 else:
                     out.append((table, i, model, False, [], text))

@@ -199,6 +199,42 @@ def test_scans(spark):
     assert len(unknown) <= 0.12 * len(true)
 
 
+def test_an_edit_needs_the_editors_leave():
+    """It must score as high as all but a few of the edits trained on, even if its result is a known word."""
+    e = perceptron.Editor().train(PAIRS + [(w, w) for w in ("modern", "barn", "corn", "turn", "burn")] * 3)
+    scores = sorted(e.against_keeping(s, perceptron.align(s, t)) for s, t in PAIRS)
+    assert e.margin == min(0.0, scores[int(perceptron.MISSED * len(scores))])
+    assert scans.Reader(frozenset({"chamber"}), frozenset(), e).correct("charnber") == ("chamber", [3, 4])
+    e.margin = 1e9
+    assert scans.Reader(frozenset({"chamber"}), frozenset(), e).correct("charnber") is None
+
+
+PAIRS = [(w.replace("m", "rn"), w) for w in ("market", "lemon", "harm", "number", "lamp", "former", "camera", "timber", "amber", "remote")]
+
+
+def test_more_edits_in_longer_words():
+    e = perceptron.Editor().train(PAIRS * 2)
+    word = "harmonylantemlemonskynumberofcamerasandlampshade"
+    seen = word.replace("m", "rn")
+    assert len(seen) > 40 and scans.Reader(frozenset({word}), frozenset(), e).correct(seen)[0] == word
+
+
+def test_one_long_line_hides_no_faults():
+    lines = ["the lantern beside the har-", "bour was counted on the final", "day and slowly painted again", "while nobody looked at the old", "storehouse"]
+    assert scans.wrapped("\n".join(lines[:-1] + ["storehouse beside the pier of the village"])) and scans.wrapped("\n".join([*lines, "w" * 40, "x" * 400]))
+    assert not scans.wrapped("\n".join(["w" * 300] * 5 + lines))
+
+
+def test_headers_that_are_too_many_to_send(spark, monkeypatch):
+    rnd = random.Random(2)
+    items = [(f"n{i}", "note", None, "t", " ".join(sentence(rnd) for _ in range(8)), None, None) for i in range(30)]
+    ocr = [(f"o{i}", "m", scanned(rnd, 1, "Chapter 2: Harbour")[0], None) for i in range(20)]
+    idf, odf = spark.createDataFrame(items, ITEM), spark.createDataFrame(ocr, "image_id string, model string, text string, title string")
+    sent = {tuple(r) for r in scans.faults(idf, odf).collect()}
+    monkeypatch.setattr(scans, "HEADERS_SENT", -1)
+    assert sent and {tuple(r) for r in scans.faults(idf, odf).collect()} == sent
+
+
 def test_scans_of_nothing(spark):
     idf = spark.createDataFrame([], ITEM)
     odf = spark.createDataFrame([], "image_id string, model string, text string")
