@@ -1,7 +1,8 @@
 """Mixing sources to target weights, in tokens of a public tokenizer.
 
-Weights run down a domain > language > source tree, each source's share split over its leaves by their tokens.
-A leaf can give at most max_repeats times its tokens; what is short is taken over by siblings under the same
+Weights run down a domain > language > source tree, each source's share split over its leaves by their tokens; which
+domain a source belongs to is an input, and without it all are in one. A leaf notes what it lacks of its own share,
+which makes its source short. A leaf can give at most max_repeats times its tokens; what is short is taken over by siblings under the same
 parent first, then by the parent's siblings, and so on up to the root. A leaf with an allotment of a tokens
 gives a // tokens whole epochs and a token prefix of the next, in an order seeded by epoch.
 
@@ -32,32 +33,31 @@ from siftspark.session import checkpoint
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the split pattern of that vocabulary.
 SPLIT = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-DOMAINS = {
-    "notes": "personal", "letters": "personal", "field-diary": "personal", "chat-export": "personal",
-    "saved-pages": "web", "bookmarks": "web",
-    "ocr": "scans", "pdf": "scans", "manuals": "scans", "slides": "scans", "book-blurbs": "scans", "captions": "images",
-}
 BUCKETS = 4096
+ROUNDING = 1e-12  # of a share, that is no shortage
 SEED = 20_24
 
-_encoders: dict[str, object] = {}
+_encoders: dict[bytes, object] = {}
 
 
-def encoder(path: str):
-    if path not in _encoders:
+def encoder(ranks: bytes):
+    """The tokenizer of a vocabulary file's content, made once a process."""
+    if ranks not in _encoders:
         import tiktoken
 
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
-        _encoders[path] = tiktoken.Encoding("file", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
-    return _encoders[path]
+        rows = (line.split() for line in ranks.splitlines() if line.strip())
+        _encoders[ranks] = tiktoken.Encoding("file", pat_str=SPLIT, mergeable_ranks={base64.b64decode(a): int(b) for a, b in rows}, special_tokens={})
+    return _encoders[ranks]
 
 
 def count_tokens(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
-    """doc_id, lang, source (trimmed, lower case), tokens; texts never leave the counting stage."""
+    """doc_id, lang, source (trimmed, lower case), tokens; texts never leave the counting stage. The vocabulary file is
+    read on the driver and sent to the workers."""
+    with open(tokenizer, "rb") as f:
+        ranks = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(tokenizer)
+        enc = encoder(ranks.value)
         for b in batches:
             n = [len(enc.encode_ordinary(t)) if t and not t.isspace() else 0 for t in b.column(3).to_pylist()]
             langs = [label_code(x) or "und" for x in b.column(1).to_pylist()]
@@ -73,8 +73,9 @@ class Node:
     name: str
     weight: float = 0.0
     room: float = 0.0  # tokens it can give
+    own: float = 0.0  # tokens of its own share
+    short: float = 0.0  # tokens of them that it cannot give
     given: float = 0.0
-    short: float = 0.0  # tokens it could not give of its own share
     below: list[Node] = field(default_factory=list)
 
     def total_room(self) -> float:
@@ -84,6 +85,15 @@ class Node:
         return sum(c.share() for c in self.below) if self.below else self.weight
 
 
+def propagate(node: Node, budget: float) -> None:
+    """Pass a budget down by weight; leaves note what they lack of theirs."""
+    node.own = budget
+    node.short = 0.0 if node.below else max(0.0, budget - node.room)
+    whole = node.share()
+    for c in node.below:
+        propagate(c, budget * c.share() / whole if whole else 0.0)
+
+
 def allot(node: Node, budget: float) -> float:
     """Give `budget` tokens to the node's subtree by weight; siblings take over what others lack, and what
     the whole subtree lacks is returned to the caller."""
@@ -140,13 +150,12 @@ class Plan:
     targets: list[tuple[str, float, int]]
 
     def shares(self) -> list[tuple]:
-        """source, target_share, tokens, room, allotted, short."""
+        """source, target_share, tokens, short: short if a leaf of the source lacks tokens for its own share."""
         out = []
-        given_all = sum(n.given for n in self.leaves.values()) or 1.0
-        for source, share, repeats in self.targets:
+        for source, share, _ in self.targets:
             mine = [(k, n) for k, n in self.leaves.items() if k[0] == source]
-            tokens = sum(self.tokens.get(k, 0) for k, _ in mine)
-            out.append((source, share, tokens, tokens * repeats, sum(n.given for _, n in mine), sum(n.given for _, n in mine) / given_all, tokens * repeats < share * self.corpus))
+            lacks = sum(n.short for _, n in mine) > ROUNDING * sum(n.own for _, n in mine)
+            out.append((source, share, sum(self.tokens.get(k, 0) for k, _ in mine), lacks))
         return out
 
 
@@ -157,8 +166,10 @@ def plan(counted: DataFrame, targets: DataFrame, domains: dict[str, str] | None
     sums = sums.groupBy(F.when(F.col("stated"), F.col("source")).alias("source"), F.when(F.col("stated"), F.col("lang")).alias("lang")).agg(F.sum("tokens").alias("t")).collect()
     corpus = sum(r.t for r in sums)
     tokens = {(r.source, r.lang): r.t for r in sums if r.source is not None}
-    root, leaves = tree([(s, l, t) for (s, l), t in sorted(tokens.items())], wanted, domains or DOMAINS)
-    allot(root, corpus if size is None else size)
+    root, leaves = tree([(s, l, t) for (s, l), t in sorted(tokens.items())], wanted, domains or {})
+    size = corpus if size is None else size
+    propagate(root, size * root.share())
+    allot(root, size)
     return Plan(corpus, leaves, tokens, wanted)
 
 
@@ -197,7 +208,7 @@ def shares(docs: DataFrame, targets: DataFrame, tokenizer: str = TOKENIZER, doma
     counted = checkpoint(count_tokens(docs, tokenizer))
     p = plan(counted, targets, domains)
     got = _marked(counted, p, seed, buckets).groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("reached"))
-    want = counted.sparkSession.createDataFrame([(s, w, t, bool(x)) for s, w, t, _, _, _, x in p.shares()], "source string, target_share double, available long, short boolean")
+    want = counted.sparkSession.createDataFrame(p.shares(), "source string, target_share double, available long, short boolean")
     full = want.join(got, "source", "left").withColumn("reached", F.coalesce("reached", F.lit(0)))
     total = got.agg(F.sum("reached").alias("all_reached"))
     share = F.round(F.col("reached") / F.when(F.col("all_reached") > 0, F.col("all_reached")), 6)
