@@ -1,7 +1,7 @@
 """Evaluation passages in training text, found by greedy string tiling.
 
 Words of seed runs shared with a passage join documents to items; each joined pair is tiled: the longest
-common run of unmarked words, found by rolling hashes, is marked again and again until none reaches the
+common run of unmarked words, found by running Karp-Rabin hashes, is marked again and again until none reaches the
 minimal length. The share of the passage under tiles catches passages whose sentences were reordered.
 
 The passages are a stated query set. They are taken in blocks of at most BLOCK_WORDS words; each block's seeds
@@ -26,20 +26,38 @@ WORD = re.compile(r"[^\W_]+")
 SEED_WORDS = 5
 MIN_RUN = 10
 BLOCK_WORDS = 2_000_000
-_BASE, _MOD = 1_000_003, (1 << 61) - 1
+_BASE = 0x9E3779B97F4A7C15  # odd, so that it has an inverse modulo 2^64
 
 
 def words(text: str | None) -> list[str]:
     return WORD.findall(text.lower()) if text else []
 
 
-def _runs(a: np.ndarray, n: int) -> np.ndarray:
-    """Rolling hash of every n-run; wraps modulo 2^64."""
-    h = np.zeros(max(0, len(a) - n + 1), np.uint64)
-    with np.errstate(over="ignore"):
-        for i in range(n):
-            h = h * np.uint64(_BASE) + a[i : i + len(h)].astype(np.uint64) + np.uint64(1)
-    return h
+_powers: dict[str, np.ndarray] = {}
+
+
+def _power(name: str, n: int) -> np.ndarray:
+    """The first n powers of the base, or of its inverse, modulo 2^64."""
+    if len(_powers.get(name, ())) < n:
+        base = _BASE if name == "up" else pow(_BASE, -1, 1 << 64)
+        full = np.full(max(n, 4096), base, np.uint64)
+        full[0] = 1
+        _powers[name] = np.cumprod(full)
+    return _powers[name][:n]
+
+
+class Runs:
+    """Running hashes: prefix sums give the hash of any run of words in one step, whatever its length."""
+
+    def __init__(self, ids: np.ndarray):
+        self.n = len(ids)
+        self.upto = np.concatenate([np.zeros(1, np.uint64), np.cumsum((ids + 1).astype(np.uint64) * _power("up", self.n))])
+
+    def __call__(self, length: int) -> np.ndarray:
+        """Hash of every run of that length."""
+        if length > self.n:
+            return np.empty(0, np.uint64)
+        return (self.upto[length:] - self.upto[: self.n + 1 - length]) * _power("down", self.n + 1 - length)
 
 
 def tiles(doc: np.ndarray, passage: np.ndarray, least: int) -> list[tuple[int, int, int]]:
@@ -48,41 +66,47 @@ def tiles(doc: np.ndarray, passage: np.ndarray, least: int) -> list[tuple[int, i
     Word ids below 0 stand for words outside the passages and match nothing.
     """
     free_p, free_d = np.ones(len(passage), bool), doc >= 0
+    runs_p, runs_d = Runs(passage), Runs(doc)
     out: list[tuple[int, int, int]] = []
 
     def clear(free: np.ndarray, n: int) -> np.ndarray:
         full = np.concatenate([[0], np.cumsum(free)])
         return np.flatnonzero(full[n:] - full[:-n] == n) if len(full) > n else np.empty(0, int)
 
-    def common(n: int) -> list[tuple[int, int]]:
+    def common(n: int) -> tuple[np.ndarray, ...] | None:
+        """Starts in passage and document of unmarked runs of n words that occur in both, and their hashes."""
         ps, ds = clear(free_p, n), clear(free_d, n)
         if not len(ps) or not len(ds):
-            return []
-        hp, hd = _runs(passage, n)[ps], _runs(doc, n)[ds]
-        hit = np.isin(hd, hp)
-        at: dict[int, list[int]] = {}
-        for p, h in zip(ps.tolist(), hp.tolist()):
-            at.setdefault(h, []).append(p)
-        return [(p, d) for d, h in zip(ds[hit].tolist(), hd[hit].tolist()) for p in at.get(h, ()) if np.array_equal(passage[p : p + n], doc[d : d + n])]
+            return None
+        hp, hd = runs_p(n)[ps], runs_d(n)[ds]
+        in_d, in_p = np.isin(hp, hd), np.isin(hd, hp)
+        return (ps[in_d], hp[in_d], ds[in_p], hd[in_p]) if in_p.any() else None
 
+    top = len(passage)
     while True:
-        lo, hi = least, min(int(free_p.sum()), int(free_d.sum()))
-        best: list[tuple[int, int]] = []
-        n = 0
+        lo, hi, best, n = least, min(top, int(free_p.sum()), int(free_d.sum())), None, 0
         while lo <= hi:  # the longest length at which a common run exists
-            mid = (lo + hi + 1) // 2 if best or lo > least else lo
+            mid = lo if best is None and lo == least else (lo + hi + 1) // 2
             found = common(mid)
             if found:
                 best, n, lo = found, mid, mid + 1
             else:
                 hi = mid - 1
-        if not best:
+        if best is None:
             return out
-        for p, d in best:
-            if free_p[p : p + n].all() and free_d[d : d + n].all():
+        starts: dict[int, list[int]] = {}
+        for p, h in zip(best[0][::-1].tolist(), best[1][::-1].tolist()):
+            starts.setdefault(h, []).append(p)
+        for d, h in zip(best[2].tolist(), best[3].tolist()):
+            left = starts[h]
+            while left and not free_p[left[-1] : left[-1] + n].all():
+                left.pop()  # once marked, never free again
+            if left and free_d[d : d + n].all() and np.array_equal(passage[left[-1] : left[-1] + n], doc[d : d + n]):
+                p = left.pop()
                 free_p[p : p + n] = False
                 free_d[d : d + n] = False
                 out.append((p, d, n))
+        top = n - 1 if not out or out[-1][2] != n else n
 
 
 class Block:
@@ -96,7 +120,7 @@ class Block:
         for k, (_, text) in enumerate(items):
             ids = np.array([self.vocab.setdefault(w, len(self.vocab)) for w in words(text)], np.int64)
             self.passages.append(ids)
-            h = np.unique(_runs(ids, seed))
+            h = np.unique(Runs(ids)(seed))
             hashes.append(h)
             owners.append(np.full(len(h), k))
         h, o = np.concatenate(hashes or [np.empty(0, np.uint64)]), np.concatenate(owners or [np.empty(0, int)])
@@ -108,7 +132,7 @@ class Block:
         doc = np.array([get(w, -1) for w in words(text)], np.int64)
         if len(doc) < self.seed or (doc >= 0).sum() < self.seed:
             return doc, []
-        h = _runs(doc, self.seed)
+        h = Runs(doc)(self.seed)
         known = np.concatenate([[0], np.cumsum(doc >= 0)])
         h = np.unique(h[known[self.seed :] - known[: -self.seed] == self.seed])
         left, right = np.searchsorted(self.hashes, h, "left"), np.searchsorted(self.hashes, h, "right")
