@@ -75,6 +75,24 @@ def test_tiles_do_not_overlap_and_are_greedy(doc, passage):
     assert (got[0][2] if got else 0) == (best if best >= 2 else 0)
 
 
+def test_running_hashes():
+    a = np.array([3, 1, 2, 3, 1, 2, 9, 3, 1, 2], np.int64)
+    runs = leaks.Runs(a)
+    for n in range(1, 11):
+        h = runs(n)
+        assert len(h) == 11 - n
+        for i in range(len(h)):
+            for j in range(len(h)):
+                assert (h[i] == h[j]) == np.array_equal(a[i : i + n], a[j : j + n])
+    assert len(runs(11)) == 0
+
+
+def test_one_word_a_thousand_times():
+    doc, passage = np.zeros(20_000, np.int64), np.zeros(900, np.int64)
+    assert leaks.tiles(doc, passage, 5) == [(0, 0, 900)]
+    assert leaks.tiles(np.tile([0, 0, 0, 0, 0, -1], 2000), passage, 5) == [(5 * k, 6 * k, 5) for k in range(180)]
+
+
 needs_tokenizer = pytest.mark.skipif(not os.path.exists(mixing.TOKENIZER), reason="no tokenizer here")
 TARGET = "source string, target_share double, max_repeats int, lang string"
 
@@ -95,7 +113,7 @@ def test_mix(spark, buckets):
     docs = spark.createDataFrame(rows, DOC)
     targets = spark.createDataFrame([("big", 0.3, 2, ""), ("small", 0.4, 1, ""), ("Mid ", 0.2, 1, ""), ("none", 0.1, 5, "")], TARGET)
     shares = {r.source: r for r in mixing.shares(docs, targets, buckets=buckets).collect()}
-    enc = mixing.encoder(mixing.TOKENIZER)
+    enc = mixing.encoder(open(mixing.TOKENIZER, "rb").read())
     n = {r[0]: len(enc.encode_ordinary(r[1])) if r[1] and r[1].strip() else 0 for r in rows}
     own = {s: sum(n[r[0]] for r in rows if (r[3] or "").strip().lower() == s) for s in ("big", "small", "mid", "none")}
     total = sum(n[r[0]] for r in rows if (r[3] or "").strip())
@@ -124,6 +142,22 @@ def test_mix_of_nothing(spark):
     assert mixing.shares(docs, targets).first().reached == 0
 
 
+def test_short_sources_come_from_the_tree():
+    root, got = mixing.tree([("a", "en", 10.0), ("a", "de", 30.0), ("b", "en", 200.0)], [("a", 0.5, 2), ("b", 0.4, 1), ("c", 0.1, 9)], {"a": "x", "b": "x"})
+    mixing.propagate(root, 240.0)
+    assert got["a", "en"].own == pytest.approx(30) and got["a", "en"].short == pytest.approx(10) and got["a", "de"].short == pytest.approx(30)
+    assert got["b", "en"].short == 0 and got["c", "und"].short == pytest.approx(24)
+
+
+def test_a_leaf_of_a_third_of_all_rows(spark):
+    """It is cut at bucket totals; no task sorts it."""
+    counted = spark.range(3000).selectExpr("id as doc_id", "'en' as lang", "case when id % 3 = 0 then 'hot' else concat('s', id % 40) end as source", "id % 7 as tokens")
+    p = mixing.plan(counted, spark.createDataFrame([("hot", 0.5, 1, ""), ("s1", 0.5, 4, "")], TARGET))
+    got = mixing._marked(counted, p, 1, 16).collect()
+    for s in ("hot", "s1"):
+        assert p.leaves[s, "en"].given - 7 <= sum(r.tokens * r.copies for r in got if r.source == s) <= p.leaves[s, "en"].given + 1
+
+
 def test_siblings_take_over_before_ancestors():
     leaves = [("a", "en", 10.0), ("b", "en", 1000.0), ("c", "en", 1000.0)]
     root, got = mixing.tree(leaves, [("a", 0.5, 1), ("b", 0.2, 1), ("c", 0.3, 1)], {"a": "x", "b": "x", "c": "y"})
@@ -174,10 +208,10 @@ def test_languages(spark):
     truth[903] = {"de"}
     docs = spark.createDataFrame(rows, DOC)
     got = {}
-    for r in languages.mislabelled(docs, languages=tuple(SENTENCES), size=40).collect():
+    for r in languages.mislabelled(docs, size=40).collect():
         got.setdefault(r.doc_id, set()).add(r.lang)
     assert got == truth
-    seg = {(r.doc_id, r.first_line, r.last_line, r.lang) for r in languages.segments(docs, languages=tuple(SENTENCES), size=40).collect()}
+    seg = {(r.doc_id, r.first_line, r.last_line, r.lang) for r in languages.segments(docs, size=40).collect()}
     assert (3, 0, 3, "nl") in seg and (3, 5, 5, "fr") in seg
     assert languages.mislabelled(docs.where("false")).count() == 0
     assert languages.mislabelled(docs.where("doc_id >= 900"), languages=("en", "de")).count() >= 0
