@@ -20,6 +20,7 @@ from siftspark.session import checkpoint
 HOT = 16_384
 SMALL = 1_000_000  # rows up to which a side is broadcast
 OUT = 100_000  # pairs of one output batch
+CHUNK = 100_000  # rows compared at once
 
 # Given the rows of whole buckets: a function of row numbers and a distance d, telling of each row i of them
 # whether i and i + d are close.
@@ -62,19 +63,16 @@ def _paired(rows: DataFrame, close: Close, window: tuple[str, float] | None) ->
     node = rows.schema["node"].dataType.simpleString()
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: list[pa.RecordBatch] = []  # all of one key, of which there may be more
+        rest: list[pa.RecordBatch] = []  # ends in a key of which there may be more
         for b in batches:
-            if not b.num_rows:
-                continue
-            key = b.column(0).to_numpy()
-            if rest and key[0] != rest[0].column(0)[0].as_py():
-                yield from pairs(pa.Table.from_batches(rest))
-                rest = []
-            cut = int(np.searchsorted(key, key[-1], "left"))
-            if cut:
-                yield from pairs(pa.Table.from_batches([*rest, b.slice(0, cut)]))
-                rest = []
-            rest.append(b.slice(cut))
+            rest.append(b)
+            if sum(x.num_rows for x in rest) >= CHUNK:
+                t = pa.Table.from_batches(rest)
+                key = t.column(0).to_numpy()
+                cut = int(np.searchsorted(key, key[-1], "left"))
+                if cut:
+                    yield from pairs(t.slice(0, cut))
+                    rest = t.slice(cut).to_batches()
         if rest:
             yield from pairs(pa.Table.from_batches(rest))
 

@@ -151,9 +151,13 @@ def pairs(docs: DataFrame, **options) -> DataFrame:
     left = members.select(F.col("node").alias("a"), F.col("id").alias("x"))
     right = members.select(F.col("node").alias("b"), F.col("id").alias("y"))
     across = found.join(left, "a").join(right, "b").select("x", "y", "similarity")
-    repeated = sized(checkpoint(members.groupBy("node").agg(F.count("*").alias("n")).where("n > 1").select("node")))
-    twins = members.join(repeated, "node")
-    within = twins.select("node", F.col("id").alias("x")).join(twins.select("node", F.col("id").alias("y")), "node").select("x", "y", F.lit(1.0).alias("similarity"))
+    # copies of a text: a large class is split, its left ids over salts, its right ids on every salt
+    hot = options.get("hot", HOT)
+    repeated = members.groupBy("node").agg(F.count("*").alias("n")).where("n > 1").select("node", F.ceil(F.col("n") / hot).cast("int").alias("salts"))
+    twins = members.join(sized(checkpoint(repeated)), "node")
+    left = twins.select("node", F.col("id").alias("x"), F.pmod(F.xxhash64("id"), F.col("salts")).cast("int").alias("salt"))
+    right = twins.select("node", F.col("id").alias("y"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    within = left.join(right, ["node", "salt"]).where("x < y").select("x", "y", F.lit(1.0).alias("similarity"))
     every = across.unionByName(within).where("x <> y")
     return every.groupBy(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).agg(F.max("similarity").alias("similarity"))
 

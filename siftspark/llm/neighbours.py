@@ -42,7 +42,7 @@ from siftspark.operators.components import components
 from siftspark.session import checkpoint
 
 DIM = 64
-RECALL = 0.995  # of a pair at the least cosine
+RECALL = 0.999  # of a pair at the least cosine
 LOSS = 0.0005  # of such pairs, by the collision thresholds
 COUNTED = 64
 FIRST = 16  # counted projections that are looked at first
@@ -51,7 +51,7 @@ NEAR = 2.2  # half a counted window, in deviations of a pair at the least cosine
 REACH = 3.5  # of a tail's window, likewise
 PLAIN = 16_384  # directions up to which they are drawn one by one; more are sums of two drawn ones
 WORK = 120  # directions are the square root of so many times the rows: projecting and comparing then cost alike
-TRIALS = 4000
+TRIALS = 10_000
 MOST_TAILS = 256
 SEED = 911
 ROWS = 256  # vectors projected at once
@@ -139,13 +139,13 @@ def directions_for(rows: int) -> int:
 @lru_cache(maxsize=64)
 def tails_for(dim: int, n: int, least: float, recall: float = RECALL, seed: int = SEED) -> int:
     """How many of its most extreme directions a vector is found by, so that a pair at the least cosine meets in a
-    window with that probability; measured on TRIALS random pairs, with two deviations of that measure added."""
+    window with that probability; measured on TRIALS random pairs, with one deviation of that measure added."""
     g = np.random.default_rng(seed + 3)
     x, z = (v / np.linalg.norm(v, axis=1, keepdims=True) for v in g.standard_normal((2, TRIALS, dim)))
     z -= (z * x).sum(1, keepdims=True) * x
     y = least * x + math.sqrt(max(0.0, 1 - least * least)) * z / np.linalg.norm(z, axis=1, keepdims=True)
     d, width = Directions(dim, n, seed), REACH * math.sqrt(max(0.0, 2 - 2 * least))
-    wanted = min(1.0, recall + 2 * math.sqrt(recall * (1 - recall) / TRIALS))
+    wanted = min(1.0, recall + math.sqrt(recall * (1 - recall) / TRIALS))
     most = 16
     while most <= min(MOST_TAILS, n):
         need = np.full(TRIALS, most + 1)

@@ -17,7 +17,7 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_groups(spark: SparkSession, d: str) -> DataFrame:
-    return edits.groups(edits.texts(table(spark, d, "items")))
+    return edits.groups(edits.texts(table(spark, d, "items")), words=3, similarity=0.6)
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
