@@ -74,3 +74,8 @@ def untagged(vectors: DataFrame, images: DataFrame, tags: DataFrame) -> DataFram
 def top_label(tags: DataFrame, images: DataFrame, label: str = "nsfw", n: int = 30) -> DataFrame:
     """path, score of the n highest scores of a label."""
     return tags.where(F.col("tag") == label).join(images.select("id", "path"), "id").select("path", "score").orderBy(F.desc("score"), F.desc("path")).limit(n)
+
+
+def facet_counts(tags: DataFrame, rank: int = FACET_RANK) -> DataFrame:
+    """tag, n: how many ids each facet admits."""
+    return tags.where(F.col("rank") <= rank).groupBy("tag").agg(F.countDistinct("id").alias("n"))

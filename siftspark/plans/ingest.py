@@ -17,26 +17,60 @@ from pyspark.sql import functions as F
 
 from siftspark.functions import exclusions, paths, text
 from siftspark.functions.html import page_state, page_text
-from siftspark.operators import state
+from siftspark.operators import state, tags
+from siftspark.plans.registry import Registry
 from siftspark.plans.store import Store
 from siftspark.session import checkpoint
 from siftspark.sources import files
 from siftspark.sources.config import Config, Folder
 
+READERS = ("ocr", "caption")  # what reads texts from images, in the order their texts are joined
 ITEM = ["id", "kind", "folder", "src_path", "title", "url", "body", "status", "created_at"]
 
 
 @dataclass
 class Processors:
-    """Plug-ins. text_embed: a column of texts to unit vectors. images: (id, path, content) to rows of
-    (id, text, source), tags: the same to (id, tag, score, pos); image_vectors: the same to (id, embedding)."""
+    """Plug-ins by kind and model. text_embed: a column of texts to unit vectors. ocr, caption: rows (id, path,
+    content) to (id, text); tagger: the same to (id, tag, score, pos); image_embed: the same to (id, embedding)."""
 
-    text_embed: dict[str, Callable[[Column], Column]] = field(default_factory=dict)
-    image_texts: list[Callable[[DataFrame], DataFrame]] = field(default_factory=list)
-    image_tags: Callable[[DataFrame], DataFrame] | None = None
-    image_vectors: dict[str, Callable[[DataFrame], DataFrame]] = field(default_factory=dict)
+    models: Registry = field(default_factory=Registry)
     pages: DataFrame | None = None  # url, content_type, code, title, text of fetched pages
 
+    def get(self, kind: str, block: dict[str, str]) -> Callable | None:
+        """The folder's processor of that kind, if it has one that is registered."""
+        return self.models.get(kind, block[kind]) if self.models.has(kind, block.get(kind)) else None
+
+
+def _blocks(cfg: Folder) -> list[tuple[Column, dict[str, str]]]:
+    """(condition on path, processors) of the folder's overrides and of what no override covers."""
+    name = paths.override_for(F.col("path"), cfg.overrides)
+    return [(name.isNull(), cfg.processors)] + [(F.coalesce(name == n, F.lit(False)), block) for n, block in cfg.overrides.items()]
+
+
+def _described(work: DataFrame, cfg: Folder, p: Processors) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(tags: id, tag, score, rank; texts: id, text, source; vectors: id, model, embedding) of new images (id, path,
+    content), by the processors of each path; what a gate of an auto-routed folder shuts out is not read."""
+    spark = work.sparkSession
+    tagged = spark.createDataFrame([], "id string, tag string, score double, rank int")
+    texts = spark.createDataFrame([], "id string, text string, source string")
+    vectors = spark.createDataFrame([], "id string, model string, embedding array<float>")
+    for here, block in _blocks(cfg):
+        rows = work.where(here)
+        if (f := p.get("tagger", block)) is not None:
+            tagged = tagged.unionByName(tags.ranked(f(rows)).select("id", "tag", F.col("score").cast("double"), "rank"))
+        if (f := p.get("image_embed", block)) is not None:
+            vectors = vectors.unionByName(f(rows).select("id", F.lit(block["image_embed"]).alias("model"), F.col("embedding").cast("array<float>").alias("embedding")))
+    tagged = checkpoint(tagged)
+    ranks = tagged.groupBy("id").agg(F.collect_list(F.struct("tag", "score", "rank")).alias("_ranked"))  # one entry a label
+    for here, block in _blocks(cfg):
+        for kind in READERS:
+            if (f := p.get(kind, block)) is not None:
+                rows = work.where(here)
+                if cfg.auto:
+                    rows = rows.join(ranks, "id", "left").where(tags.wants(kind, F.col("_ranked"), True, cfg.gates)).drop("_ranked")
+                texts = texts.unionByName(f(rows).select("id", "text", F.lit(kind).alias("source")))
+    return tagged, texts, vectors
+
 
 def _new_items(store: Store, folder: str, cfg: Folder, changed: DataFrame, chosen: dict[str, list[str]], p: Processors) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(items to add, file rows, ids of link items to drop)"""
@@ -86,6 +120,9 @@ def ingest_folder(store: Store, config: Config, name: str, processors: Processor
     todo: dict[str, list[str]] = {k: [] for k in ("note", "links", "pdf", "image")}
     for r in changed.select("path", "kind").toLocalIterator():
         todo[r.kind].append(r.path)
+    n, todo_n = listed.count(), changed.count()
+    if not todo_n and state.vanished(known, listed).isEmpty():  # the last version is this one
+        return {"seen": n, "skipped": n, "indexed": 0, "pruned": 0, "failed": 0}
     add, seen, stale = _new_items(store, name, cfg, changed, todo, p)
 
     content = files.contents(spark, todo["image"])
@@ -97,14 +134,7 @@ def ingest_folder(store: Store, config: Config, name: str, processors: Processor
     fresh = checkpoint(fresh)
     new_images = fresh.join(changed.select("path", "mtime"), "path").select("id", "path", F.lit(name).alias("folder"), F.col("id").alias("content_hash"), "mtime", "width", "height", F.lit(time.time()).alias("indexed_at"))
     work = fresh.select("id", "path").join(content, "path")
-    texts = spark.createDataFrame([], "id string, text string, source string")
-    for f in p.image_texts:
-        texts = texts.unionByName(f(work).select("id", "text", "source"))
-    tags = store.read("tags")
-    if p.image_tags is not None:
-        from siftspark.operators.tags import SOURCE, ranked
-
-        tags = tags.unionByName(ranked(p.image_tags(work)).select("id", "tag", F.lit(SOURCE).alias("source"), "score", "rank"))
+    new_tags, texts, new_vectors = _described(work, cfg, p)
 
     items = state.merge(store.read("items").join(stale, "id", "left_anti"), add, "id")
     files_now = state.merge(store.read("files"), seen.select("path", F.lit(name).alias("folder"), "image_id", "mtime"), "path")
@@ -118,20 +148,19 @@ def ingest_folder(store: Store, config: Config, name: str, processors: Processor
     docs = fresh_items.select("id", text.searchable(F.col("title"), F.col("url"), F.col("body")).alias("text"), F.lit(None).cast("string").alias("source")).unionByName(texts)
     docs = checkpoint(docs.where("text is not null and text <> ''"))
     vectors = store.read("vectors")
-    model = cfg.processors.get("text_embed")
-    if model in p.text_embed:
-        joined = docs.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.coalesce("source", F.lit("")).alias("s"), "text"))), lambda x: x["text"]), "\n").alias("text"))
-        vec = joined.select(F.lit("text").alias("space"), F.lit(model).alias("model"), F.xxhash64("id").alias("rowid"), "id", p.text_embed[model](F.col("text")).cast("array<float>").alias("embedding"))
-        vectors = vectors.unionByName(vec)
-    model = cfg.processors.get("image_embed")
-    if model in p.image_vectors:
-        vec = p.image_vectors[model](work).select(F.lit("image").alias("space"), F.lit(model).alias("model"), F.xxhash64("id").alias("rowid"), "id", F.col("embedding").cast("array<float>").alias("embedding"))
+    if (embed := p.get("text_embed", cfg.processors)) is not None:
+        place = F.coalesce(F.array_position(F.array(*[F.lit(k) for k in READERS]), F.col("source")), F.lit(0))
+        parts = F.array_sort(F.collect_list(F.struct(place.alias("place"), "text")))
+        joined = docs.groupBy("id").agg(F.array_join(F.transform(parts, lambda x: x["text"]), "\n").alias("text"))
+        vec = joined.select(F.lit("text").alias("space"), F.lit(cfg.processors["text_embed"]).alias("model"), F.xxhash64("id").alias("rowid"), "id", embed(F.col("text")).cast("array<float>").alias("embedding"))
         vectors = vectors.unionByName(vec)
+    vectors = vectors.unionByName(new_vectors.select(F.lit("image").alias("space"), "model", F.xxhash64("id").alias("rowid"), "id", "embedding"))
+    known_tags = store.read("tags").unionByName(new_tags.select("id", "tag", F.lit(tags.SOURCE).alias("source"), "score", "rank"))
     drop = gone.unionByName(stale).distinct()
-    left = state.purge(drop, text_docs=(store.read("text_docs").unionByName(docs), "id"), tags=(tags, "id"), vectors=(vectors, "id"))
+    left = state.purge(drop, text_docs=(store.read("text_docs").unionByName(docs), "id"), tags=(known_tags, "id"), vectors=(vectors, "id"))
     n_gone = gone.count()
     store.commit(files=files_now, images=images.join(gone, "id", "left_anti"), items=items.join(gone, "id", "left_anti"), **left)
-    n, todo_n, done = listed.count(), changed.count(), seen.select("path").distinct().count()
+    done = seen.select("path").distinct().count()
     indexed = fresh.count() + fresh_items.count()
     return {"seen": n, "skipped": n - todo_n, "indexed": indexed, "pruned": n_gone, "failed": todo_n - done}
 
@@ -145,3 +174,29 @@ def ingest_all(store: Store, config: Config, processors: Processors | None = Non
         except Exception as e:  # one bad folder must not end the run
             out[name] = {"seen": 0, "skipped": 0, "indexed": 0, "pruned": 0, "failed": 0, "error": f"{type(e).__name__}: {e}"}
     return out
+
+
+def backfill_tags(store: Store, config: Config, processors: Processors, labels: DataFrame) -> int:
+    """Tag the images that have a vector and no tag yet, by labels (pos, tag, embedding) of the same model; commits once
+    and returns how many images were tagged."""
+    models = {m for k, m in config.models() if k == "image_embed"}
+    vec = store.read("vectors").where((F.col("space") == "image") & F.col("model").isin(*models))
+    todo = tags.untagged(vec, store.read("images"), store.read("tags")).groupBy("id").agg(F.min_by("embedding", "rowid").alias("embedding"))
+    new = checkpoint(tags.zero_shot(todo, labels).select("id", "tag", F.lit(tags.SOURCE).alias("source"), F.col("score").cast("double"), "rank"))
+    n = new.select("id").distinct().count()
+    if n:
+        store.commit(tags=store.read("tags").unionByName(new))
+    return n
+
+
+def forget_texts(store: Store, ids: DataFrame, source: str) -> int:
+    """Drop the texts of a source and the text vectors of some ids (id), so that they are read and embedded anew; returns the
+    number of texts dropped. Other sources' texts stay."""
+    docs = store.read("text_docs")
+    gone = checkpoint(docs.where(F.col("source") == source).join(ids.select("id").distinct(), "id", "left_semi"))
+    if (n := gone.count()):
+        vec = store.read("vectors")
+        kept = vec.where("space <> 'text'").unionByName(vec.where("space = 'text'").join(gone.select("id").distinct(), "id", "left_anti"))
+        left = docs.where(F.coalesce(F.col("source") != source, F.lit(True))).unionByName(docs.where(F.col("source") == source).join(gone.select("id").distinct(), "id", "left_anti"))
+        store.commit(text_docs=left, vectors=kept)
+    return n

@@ -52,7 +52,10 @@ class SearchEngine:
         return hits.cut(found, k).drop("part")
 
     def similar(self, folder: str, image_id: str, k: int = 20, exclude: DataFrame | None = None) -> DataFrame:
-        model = self.config.folders[folder].processors.get("image_embed")
+        """By the model of the image's own path, which an override may set."""
+        known = self.tables("images").where(F.col("id") == image_id).select("path").first()
+        settings = self.config.folders[folder]
+        model = (settings.processors_for(known.path) if known else settings.processors).get("image_embed")
         if not model:
             raise ValueError(f"folder {folder!r} has no image_embed model")
         return nearest.similar(self.tables("vectors"), self.tables("images"), folder, model, image_id, k, exclude)

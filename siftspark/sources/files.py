@@ -124,11 +124,39 @@ def _size(b: bytes) -> tuple[int, int] | None:
             if mark in range(0xC0, 0xD0) and mark not in (0xC4, 0xC8, 0xCC):
                 return int.from_bytes(b[i + 7 : i + 9], "big"), int.from_bytes(b[i + 5 : i + 7], "big")
             i += 2 + n
-    if b[:4] == b"RIFF" and b[8:12] == b"WEBP" and b[12:16] == b"VP8X":
+    if b[:4] == b"RIFF" and b[8:12] == b"WEBP":
+        return _webp_size(b)
+    if b[:4] in (b"II*\0", b"MM\0*"):
+        return _tiff_size(b)
+    return None
+
+
+def _webp_size(b: bytes) -> tuple[int, int] | None:
+    """Extended, lossless and lossy files hold their size in different places."""
+    if b[12:16] == b"VP8X" and len(b) >= 30:
         return int.from_bytes(b[24:27], "little") + 1, int.from_bytes(b[27:30], "little") + 1
+    if b[12:16] == b"VP8L" and len(b) >= 25 and b[20] == 0x2F:
+        bits = int.from_bytes(b[21:25], "little")
+        return (bits & 0x3FFF) + 1, (bits >> 14 & 0x3FFF) + 1
+    if b[12:16] == b"VP8 " and len(b) >= 30 and b[23:26] == b"\x9d\x01\x2a":
+        w, h = struct.unpack("<HH", b[26:30])
+        return w & 0x3FFF, h & 0x3FFF
     return None
 
 
+def _tiff_size(b: bytes) -> tuple[int, int] | None:
+    """Tags 256 and 257 of the first directory, as short or long numbers."""
+    order = "little" if b[:2] == b"II" else "big"
+    at = int.from_bytes(b[4:8], order)
+    found = {}
+    for k in range(int.from_bytes(b[at : at + 2], order)):
+        entry = b[at + 2 + 12 * k : at + 14 + 12 * k]
+        tag, kind = int.from_bytes(entry[:2], order), int.from_bytes(entry[2:4], order)
+        if tag in (256, 257) and kind in (3, 4):
+            found[tag] = int.from_bytes(entry[8 : 10 if kind == 3 else 12], order)
+    return (found[256], found[257]) if len(found) == 2 else None
+
+
 def images(rows: DataFrame) -> DataFrame:
     """id, path, width, height, error from (path, content); an unreadable header is the row's error."""
 

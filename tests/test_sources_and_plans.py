@@ -6,10 +6,10 @@ import warnings
 import pytest
 from pyspark.sql import functions as F
 
-from siftspark.plans import search
-from siftspark.plans.ingest import Processors, ingest_all, ingest_folder
-from siftspark.plans.store import Store
-from siftspark.operators import dedup
+from siftspark.operators import dedup, tags
+from siftspark.plans import cli, search
+from siftspark.plans.ingest import Processors, backfill_tags, forget_texts, ingest_all, ingest_folder
+from siftspark.plans.store import SCHEMAS, Store
 from siftspark.sources import bookmarks, capture, config, files, sinks
 from siftspark.streaming import feeds
 
@@ -62,7 +62,8 @@ def test_ingest(spark, lib, tmp_path):
     cfg = config.parse({"folders": {str(lib): {"text_embed": "stub"}}})
     store = Store(spark, str(tmp_path / "store"))
     pages = spark.createDataFrame([("https://example.com/a", "text/html", 200, "Example A", "meme page " * 40)], "url string, content_type string, code int, title string, text string")
-    p = Processors(text_embed={"stub": lambda c: F.array((F.length(c) % 7).cast("double"), F.lit(1.0), F.lit(0.0))}, pages=pages)
+    p = Processors(pages=pages)
+    p.models.register("text_embed", "stub")(lambda: lambda c: F.array((F.length(c) % 7).cast("double"), F.lit(1.0), F.lit(0.0)))
     first = ingest_folder(store, cfg, str(lib), p)
     assert first == {"seen": 6, "skipped": 0, "indexed": 5, "pruned": 0, "failed": 1}
     assert ingest_folder(store, cfg, str(lib), p) == {"seen": 6, "skipped": 5, "indexed": 0, "pruned": 0, "failed": 1}
@@ -82,16 +83,95 @@ def test_ingest(spark, lib, tmp_path):
 
 
 def test_a_failing_folder_leaves_the_last_version(spark, lib, tmp_path):
-    cfg = config.parse({"folders": {str(lib): {}, str(tmp_path / "other"): {}}})
+    cfg = config.parse({"folders": {str(lib): {"ocr": "m"}, str(tmp_path / "other"): {}}})
     store = Store(spark, str(tmp_path / "store"))
 
     def broken(rows):
         raise RuntimeError("model is gone")
 
-    out = ingest_all(store, cfg, Processors(image_texts=[broken]))
+    p = Processors()
+    p.models.register("ocr", "m")(lambda: broken)
+    out = ingest_all(store, cfg, p)
     assert out[str(lib)]["error"].endswith("model is gone") and store.read("files").count() == 0
 
 
+def test_routes_and_overrides(spark, tmp_path):
+    """Tags decide what an auto-routed folder's images are read by; an override has its own processors; OCR comes before captions."""
+    d = tmp_path / "pics"
+    (d / "Phone").mkdir(parents=True)
+    for k, n in enumerate(("meme.png", "photo.png", "Phone/shot.png")):
+        (d / n).write_bytes(png(4, 5, bytes([k])))
+    cfg = config.parse({"folders": {str(d): {"tagger": "t", "ocr": "o", "caption": "c", "text_embed": "e", "route": "auto", "overrides": {"phone": {"ocr": "o2", "tagger": "off", "caption": "off"}}}}})
+    p, asked = Processors(), []
+    name = F.regexp_extract("path", "([a-z]+)[.]png$", 1)
+
+    def tagger():
+        asked.append("t")
+        both = F.array(F.struct(F.when(name == "meme", "meme").otherwise("photo").alias("tag"), F.lit(0.9).alias("score"), F.lit(0).alias("pos")), F.struct(F.lit("art").alias("tag"), F.lit(0.1).alias("score"), F.lit(1).alias("pos")))
+        return lambda rows: rows.select("id", F.explode(both).alias("x")).select("id", "x.*")
+
+    p.models.register("tagger", "t")(tagger)
+    for kind, m in (("ocr", "o"), ("ocr", "o2"), ("caption", "c")):
+        p.models.register(kind, m)(lambda m=m: lambda rows: rows.select("id", F.concat(F.lit(f"{m} of "), name).alias("text")))
+    p.models.register("text_embed", "e")(lambda: lambda c: F.array(F.length(c).cast("double"), F.when(c.startswith("o of meme\nc of"), 1.0).otherwise(0.0)))
+    p.models.register("caption", "unused")(lambda: 1 / 0)
+    store = Store(spark, str(tmp_path / "store"))
+    ingest_folder(store, cfg, str(d), p)
+    assert sorted((r.text, r.source) for r in store.read("text_docs").collect()) == [("c of meme", "caption"), ("c of photo", "caption"), ("o of meme", "ocr"), ("o2 of shot", "ocr")]
+    assert {(r.tag, r["rank"]) for r in store.read("tags").collect()} == {("meme", 1), ("photo", 1), ("art", 2)} and asked == ["t"]
+    assert sorted(r.embedding[1] for r in store.read("vectors").collect()) == [0.0, 0.0, 1.0]
+    assert {r.tag: r.n for r in tags.facet_counts(store.read("tags")).collect()} == {"meme": 1, "photo": 1, "art": 2}
+    version = store.version
+    assert ingest_folder(store, cfg, str(d), p)["skipped"] == 3 and store.version == version
+    ids = store.read("images").where(F.col("path").endswith("meme.png"))
+    assert forget_texts(store, ids, "caption") == 1 and store.read("text_docs").count() == 3 and store.read("vectors").count() == 2
+    with pytest.raises(KeyError):
+        p.models.get("ocr", "none")
+
+
+def test_tag_backfill(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"))
+    images = [(i, f"/x/{i}", "x", i, 1.0, 1, 1, 0.0) for i in "abc"]
+    vectors = [("image", "m", k, i, [1.0, float(k)]) for k, i in enumerate("abcd")]
+    store.commit(images=spark.createDataFrame(images, SCHEMAS["images"]), vectors=spark.createDataFrame(vectors, SCHEMAS["vectors"]), tags=spark.createDataFrame([("a", "art", "s", 0.5, 1)], SCHEMAS["tags"]))
+    labels = spark.createDataFrame([(0, "meme", [1.0, 0.0]), (1, "photo", [0.0, 1.0])], "pos int, tag string, embedding array<double>")
+    cfg = config.parse({"folders": {"x": {"image_embed": "m"}}})
+    assert backfill_tags(store, cfg, Processors(), labels) == 2
+    assert sorted((r.id, r.tag) for r in store.read("tags").where("rank = 1").collect()) == [("a", "art"), ("b", "meme"), ("c", "photo")]
+    assert backfill_tags(store, cfg, Processors(), labels) == 0
+
+
+def test_store_keeps_what_did_not_change(spark, tmp_path):
+    root = tmp_path / "store"
+    store = Store(spark, str(root))
+    docs = spark.createDataFrame([("a", "t", None)], SCHEMAS["text_docs"])
+    store.commit(text_docs=docs)
+    for k in range(5):
+        store.commit(files=spark.createDataFrame([("p", "f", "i", float(k))], SCHEMAS["files"]))
+    assert store.version == 6 and store.read("files").first().mtime == 4.0 and store.read("text_docs").count() == 1 and store.read("tags").count() == 0
+    assert sorted(p.name for p in root.glob("v*")) == ["v1", "v4", "v5", "v6"] and sorted(p.name for p in root.glob("v1/*")) == ["text_docs"]
+
+
+def test_image_sizes():
+    lossy = b"RIFF\0\0\0\0WEBPVP8 \0\0\0\0\0\0\0\x9d\x01\x2a" + struct.pack("<HH", 640, 480)
+    lossless = b"RIFF\0\0\0\0WEBPVP8L\0\0\0\0\x2f" + struct.pack("<I", 639 | 479 << 14)
+    entries = lambda e, k: b"".join(struct.pack(e + "HHI", t, k, 1) + (struct.pack(e + "HH", v, 0) if k == 3 else struct.pack(e + "I", v)) for t, v in ((256, 640), (257, 480)))
+    tiffs = [m + struct.pack(e + "IH", 8, 2) + entries(e, k) for m, e in ((b"II*\0", "<"), (b"MM\0*", ">")) for k in (3, 4)]
+    assert [files._size(b) for b in (lossy, lossless, *tiffs)] == [(640, 480)] * 6
+    assert files._size(b"RIFF\0\0\0\0WEBPVP8 ") is None and files._size(b"II*\0") is None
+
+
+def test_command_line(spark, lib, tmp_path, capsys):
+    (tmp_path / "c.yaml").write_text(json.dumps({"folders": {str(lib): {}}}))
+    base = ["--config", str(tmp_path / "c.yaml"), "--store", str(tmp_path / "store")]
+    assert cli.main([*base, "index"]) == 1  # one file cannot be read
+    capsys.readouterr()
+    assert cli.main([*base, "--tsv", "search", str(lib), "meme", "-k", "3", "--field", "ocr"]) == 0
+    head, row = capsys.readouterr().out.splitlines()
+    assert "title" in head.split("\t") and "Big Idea" in row.split("\t")
+    assert cli.main([*base, "dupes"]) == 0 and len(json.loads(capsys.readouterr().out)["paths"]) == 2
+
+
 def test_config(tmp_path):
     f = tmp_path / "c.yaml"
     f.write_text("defaults: {ocr: a, caption: b}\nfolders:\n  /x: {caption: off, route: auto, ocr_when: meme, overrides: {Shots: {ocr: c}}}\nprivate: [/x/p]\n")
