@@ -26,6 +26,14 @@ def dupes_report(files: DataFrame) -> DataFrame:
     return g.select("image_id", F.element_at("paths", 1).alias("kept"), F.slice("paths", 2, F.size("paths") - 1).alias("extra"), (F.size("paths") - 1).alias("n_extra"))
 
 
+def extra_copies(files: DataFrame) -> DataFrame:
+    """image_id, kept, path: one row for every path of a content but the first, whatever their number; nothing is
+    collected, so a content may have any number of paths."""
+    rows = files.where("image_id is not null").select("image_id", "path").distinct()
+    kept = rows.groupBy("image_id").agg(F.min("path").alias("kept"), F.count("*").alias("n")).where("n > 1").drop("n")
+    return rows.join(kept, "image_id").where("path <> kept").select("image_id", "kept", "path")
+
+
 def judged_bookmarks(bookmarks: DataFrame) -> DataFrame:
     return bookmarks.select("bookmark_id", "url", F.coalesce("title", F.lit("")).alias("title"), "folder", "browser", refusal_reason("url").alias("reason"))
 

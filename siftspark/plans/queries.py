@@ -17,6 +17,7 @@ from siftspark.functions.html import WALLS, extract, page_state
 from siftspark.operators import components, dedup, hits, keyword, nearest, state, tags
 from siftspark.session import table
 from siftspark.sources import capture
+from siftspark.streaming import feeds
 
 MODEL = "siglip2-base"
 KEYWORDS = "lighthouse storm"
@@ -96,7 +97,7 @@ def duplicate_groups(spark, d):
 
 
 def dupes_report(spark, d):
-    return dedup.dupes_report(table(spark, d, "files")).agg(F.count("*").alias("groups"), F.coalesce(F.sum("n_extra"), F.lit(0)).cast("long").alias("extra"))
+    return dedup.extra_copies(table(spark, d, "files"))
 
 
 def note_titles(spark, d):
@@ -224,6 +225,10 @@ def facet_all_tags(spark, d):
     return tags.with_all(_tags(spark, d), ["chart", "document"])
 
 
+def facet_counts(spark, d):
+    return tags.facet_counts(_tags(spark, d))
+
+
 def facet_admits_items(spark, d):
     _, parsed = text.facets_of("unemployment graphs")
     return tags.allowed(_tags(spark, d), table(spark, d, "items"), FOLDER, [], parsed)
@@ -385,11 +390,6 @@ def status_counts(spark, d):
     return table(spark, d, "items").groupBy("kind", "status").agg(F.count("*").alias("n"))
 
 
-def text_embed_stub(spark, d):
-    rows = table(spark, d, "documents").where(text.strip_ws(F.col("text")) != "")
-    return rows.select("doc_id", F.array_join(F.array((F.length("text") % 7).cast("int"), F.lit(1), F.lit(0)), ",").alias("embedding"))
-
-
 def page_status(spark, d):
     """State of link pages as if their body were the fetched text."""
     rows = table(spark, d, "items").where("kind = 'link'").select("id", "url", "body").distinct()
@@ -404,10 +404,11 @@ def html_extract(spark, d):
 
 def ingest_stats(spark, d):
     """Seen, skipped and changed files of every folder against a later listing."""
-    f = table(spark, d, "files").groupBy("path").agg(F.min("folder").alias("folder"), F.max("mtime").alias("old"))
-    rows = _listing(spark, d).join(f, "path", "left")
-    same = F.coalesce(F.col("mtime") == F.col("old"), F.lit(False))
-    return rows.groupBy(F.coalesce("folder", F.lit("")).alias("folder")).agg(F.count("*").alias("seen"), F.count_if(same).alias("skipped"), F.count_if(~same).alias("changed"))
+    known = table(spark, d, "files")
+    f = known.groupBy("path").agg(F.min("folder").alias("folder"))
+    todo = state.changed(_listing(spark, d), known).select("path", F.lit(1).alias("todo"))
+    rows = _listing(spark, d).join(f, "path", "left").join(todo.distinct(), "path", "left")
+    return rows.groupBy(F.coalesce("folder", F.lit("")).alias("folder")).agg(F.count("*").alias("seen"), F.count_if(F.col("todo").isNull()).alias("skipped"), F.count_if(F.col("todo") == 1).alias("changed"))
 
 
 def link_components(spark, d):
@@ -417,8 +418,16 @@ def link_components(spark, d):
 
 
 def event_windows(spark, d):
+    return feeds.windowed(table(spark, d, "events")).withColumn("total", F.round("total", 4))
+
+
+def event_sessions(spark, d):
+    return feeds.sessions(table(spark, d, "events"))
+
+
+def event_distinct(spark, d):
     e = table(spark, d, "events")
-    return e.groupBy(F.date_trunc("hour", "ts").alias("hour"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+    return feeds.distinct(e.unionByName(e)).groupBy("event_type").agg(F.count("*").alias("n"))
 
 
 def order_report(spark, d):
@@ -443,8 +452,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         knn_topk_l2, knn_cosine, knn_named, similar_images, vector_tables, zero_shot_tags, facet_all_tags, facet_admits_items, routing_gate,
         hidden_ids, hits_without_hidden, top_labelled, backfill_untagged, bm25_topk, bm25_all, bm25_field, phrase_match, corpus_words,
         hybrid_concat, hybrid_rrf, hits_rrf, captured_notes, relevance_cliff, resolve_hits, folder_scope, incremental_diff, vanished_files, merged_files,
-        prune_orphans, purged_counts, links_diff, source_backfill, book_dedupe, status_counts, text_embed_stub, page_status,
-        html_extract, ingest_stats, link_components, event_windows, order_report, customers_without_orders,
+        prune_orphans, purged_counts, links_diff, source_backfill, book_dedupe, status_counts, page_status,
+        html_extract, ingest_stats, link_components, event_windows, event_sessions, event_distinct, facet_counts, order_report, customers_without_orders,
     )
 }
 
@@ -497,7 +506,17 @@ _RESOLVED = "SELECT h.id, query_id, coalesce(m.path, l.src_path) AS path, CASE W
 ORACLE: dict[str, str] = {
     "content_hash_ids": "SELECT doc_id, sha256(text) AS id, sha256('link:' || coalesce(origin, '')) AS link_id FROM documents",
     "duplicate_groups": "SELECT image_id, string_agg(path, '|' ORDER BY path) AS paths, count(*) AS n FROM (SELECT DISTINCT image_id, path FROM files WHERE image_id IS NOT NULL) GROUP BY image_id HAVING count(*) > 1",
-    "dupes_report": "SELECT count(*) AS groups, CAST(coalesce(sum(n - 1), 0) AS BIGINT) AS extra FROM (SELECT count(*) AS n FROM (SELECT DISTINCT image_id, path FROM files WHERE image_id IS NOT NULL) GROUP BY image_id HAVING count(*) > 1)",
+    "dupes_report": "WITH f AS (SELECT DISTINCT image_id, path, min(path) OVER (PARTITION BY image_id) AS kept FROM files WHERE image_id IS NOT NULL) SELECT image_id, kept, path FROM f WHERE path <> kept",
+    "facet_counts": f"WITH {_SQL_TAGS} SELECT tag, count(DISTINCT id) AS n FROM tags WHERE rank <= 2 GROUP BY tag",
+    "event_sessions": """WITH e AS (SELECT user_id, ts, CASE WHEN ts <= lag(ts) OVER w + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events WHERE ts IS NOT NULL WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS no FROM e) SELECT user_id, min(ts) AS started, max(ts) + INTERVAL 30 MINUTE AS ended, count(*) AS n FROM s GROUP BY user_id, no""",
+    "event_distinct": "SELECT event_type, count(DISTINCT event_id) AS n FROM events GROUP BY 1",
+    "link_components": """WITH RECURSIVE e AS (SELECT DISTINCT 'i:' || image_id AS a, 'p:' || regexp_replace(path, '/[^/]+$', '') AS b FROM files WHERE image_id IS NOT NULL), both_ AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+reach AS (SELECT a AS node, a AS reached FROM both_ UNION SELECT node, b FROM reach JOIN both_ ON reached = a), root AS (SELECT node, min(reached) AS root FROM reach GROUP BY node) SELECT root, count(*) AS nodes FROM root GROUP BY root""",
+    "html_extract": rf"""WITH p AS (SELECT DISTINCT id, coalesce(title, '') AS t, regexp_replace(coalesce(body, '') || '</p></body></html>', '(?is)<(noscript)>.*?</noscript>', '<br>', 'g') AS b FROM items WHERE kind = 'link'),
+c AS (SELECT id, t, regexp_replace(b, '(?is)<noscript>.*', '<br>') AS b FROM p),
+s AS (SELECT id, regexp_replace(t, '(?s)<[/A-Za-z!?][^>]*(>|\z)', '', 'g') || coalesce(array_to_string(list_transform(regexp_extract_all(b, '(?is)<title>(.*?)(?:</title>|\z)', 1), lambda x: regexp_replace(x, '(?s)<[/A-Za-z!?][^>]*(>|\z)', '', 'g')), ''), '') AS t, regexp_split_to_array(regexp_replace(b, '(?is)<title>.*?(</title>|\z)', '<br>', 'g'), '(?s)<[/A-Za-z!?][^>]*(?:>|\z)') AS xs FROM c)
+SELECT id, nullif(trim(regexp_replace(t, '{_WS}', ' ', 'g')), '') AS title, sha256(array_to_string(list_filter(list_transform(xs, lambda x: regexp_replace(x, '^{_WS}|{_WS}$', '', 'g')), lambda x: x <> ''), ' ')) AS digest FROM s""",
     "note_titles": rf"""SELECT id, coalesce(nullif(regexp_replace(regexp_replace(coalesce(list_filter([regexp_replace(x, '^{_WS}|{_WS}$', '', 'g') for x in regexp_split_to_array(coalesce(body, ''), '\r\n|[\n\r\x0B\x0C\x1C\x1D\x1E\x{{85}}\x{{2028}}\x{{2029}}]')], lambda y: y <> '')[1], ''), '^#+', ''), '^{_WS}|{_WS}$', '', 'g'), ''), regexp_replace(regexp_extract(src_path, '[^/]*$'), '(.)\.[^.]+$', '\1')) AS title FROM (SELECT DISTINCT id, body, src_path FROM items WHERE kind = 'note')""",
     "searchable_text": f"SELECT id, sha256(t) AS digest, length(t) AS chars FROM (SELECT DISTINCT id, title, url, body, {_SQL_SEARCHABLE} AS t FROM items)",
     "snippets": "SELECT DISTINCT id, sha256(coalesce(substr(body, 1, 300), '')) AS digest FROM items",
@@ -552,12 +571,11 @@ UNION ALL SELECT id, src_path, 'stale' FROM (SELECT * FROM old WHERE src_path IN
     "source_backfill": "WITH docs AS (SELECT image_id AS id, text FROM ocr_text WHERE text IS NOT NULL UNION SELECT id, body FROM items WHERE body IS NOT NULL) SELECT CASE WHEN EXISTS (SELECT 1 FROM ocr_text o WHERE o.model = 'rapidocr' AND o.image_id = d.id AND o.text = d.text) THEN 'ocr' WHEN EXISTS (SELECT 1 FROM ocr_text o WHERE o.model <> 'rapidocr' AND o.image_id = d.id AND o.text = d.text) THEN 'caption' END AS source, count(*) AS n FROM docs d GROUP BY 1",
     "book_dedupe": r"""WITH b AS (SELECT coalesce(title, '') AS title, coalesce(folder, '') AS author, (bookmark_id % 100) / 100.0 AS confidence, bookmark_id AS seq FROM bookmarks), k AS (SELECT *, trim(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g')) AS t, trim(regexp_replace(lower(author), '[^a-z0-9]+', ' ', 'g')) AS a FROM b), r AS (SELECT *, row_number() OVER (PARTITION BY t, a ORDER BY confidence DESC, seq) AS n FROM k) SELECT title, author, CAST(round(confidence, 2) AS DOUBLE) AS confidence FROM r WHERE n = 1 AND confidence >= 0.7""",
     "status_counts": "SELECT kind, status, count(*) AS n FROM items GROUP BY kind, status",
-    "text_embed_stub": rf"SELECT doc_id, (length(text) % 7) || ',1,0' AS embedding FROM documents WHERE regexp_replace(text, '^{_WS}|{_WS}$', '', 'g') <> ''",
     "page_status": "SELECT id, CASE WHEN regexp_matches(lower(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1)), '/login|/signin|/sign-in|/auth|/oauth|/logout|/register') THEN 'skipped' WHEN "
     + " OR ".join(f"contains(lower(substr(coalesce(body, ''), 1, 2000)), '{w}')" for w in WALLS)
     + " THEN 'blocked' WHEN length(coalesce(body, '')) < 200 THEN 'thin' ELSE 'ok' END AS state FROM (SELECT DISTINCT id, url, body FROM items WHERE kind = 'link')",
     "ingest_stats": f"WITH {_SQL_LISTING}, f AS (SELECT path, min(folder) AS folder, max(mtime) AS old FROM files GROUP BY path) SELECT coalesce(folder, '') AS folder, count(*) AS seen, count(*) FILTER (WHERE mtime = old) AS skipped, count(*) FILTER (WHERE NOT coalesce(mtime = old, FALSE)) AS changed FROM listing LEFT JOIN f USING (path) GROUP BY 1",
-    "event_windows": "SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2",
+    "event_windows": "SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2",
     "order_report": "SELECT n_name, c_mktsegment, round(sum(l_extendedprice * (1 - l_discount)), 0) AS revenue, count(DISTINCT o_orderkey) AS orders FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2",
     "customers_without_orders": "SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)",
 }

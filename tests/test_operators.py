@@ -44,6 +44,31 @@ def test_overlapping_phrases(spark):
     assert c.f0 == 2 and c.dl == 4
 
 
+@pytest.mark.parametrize("query", ["storm", "old-storm", "the storm lamp", "the-old-storm lamp", "none", "a-a", "", "id3"])
+@pytest.mark.parametrize("field", [None, "ocr"])
+def test_a_stored_index_finds_the_same(spark, tmp_path, query, field):
+    rows = [(f"id{i}", t, [None, "ocr", "caption"][i % 3]) for i, t in enumerate(["the old storm", "old lamp, the STORM", "a a a a", None, "", "storm storm old storm lamp", "the lamp of the old storm", "the old storm"])] + [("id0", "the old storm", None)]
+    docs = spark.createDataFrame(rows, "id string, text string, source string").repartition(3)
+    keyword.write_index(docs, str(tmp_path / "index"), 4)
+    plain = lambda df: sorted((r.id, r.source or "", round(r.score, 9)) for r in df.collect())
+    stored = keyword.search_index(spark, str(tmp_path / "index"), query, None, field)
+    assert plain(stored) == plain(keyword.bm25(docs, query, None, field))
+
+
+def test_a_search_reads_its_words_buckets_only(spark, tmp_path):
+    docs = spark.createDataFrame([(f"i{i}", f"w{i} common", None) for i in range(50)], "id string, text string, source string")
+    keyword.write_index(docs, str(tmp_path / "index"), 16)
+    rows = spark.read.parquet(str(tmp_path / "index" / "postings")).where("bucket in (3)")
+    assert all("bucket=3" in r[0] for r in rows.select(F.input_file_name()).distinct().collect())
+    assert 0 < rows.select("word").distinct().count() < 30
+
+
+def test_copies_of_a_third_of_all_files(spark):
+    rows = [("hot" if i % 3 == 0 else f"h{i}", f"/p/{i:03}") for i in range(90)] + [("hot", "/p/000"), (None, "/p/x")]
+    got = dedup.extra_copies(spark.createDataFrame(rows, "image_id string, path string")).collect()
+    assert sorted((r.kept, r.path) for r in got) == [("/p/000", f"/p/{i:03}") for i in range(3, 90, 3)]
+
+
 def test_postings(spark):
     d = docs(spark).withColumn("doc_row", F.monotonically_increasing_id())
     got = {(r.word, r.source): r.tf for r in keyword.postings(d).where("id = 'img1'").collect()}
